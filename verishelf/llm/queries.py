@@ -14,6 +14,7 @@ from verishelf.llm.chat_format import format_chats, read_back
 from verishelf.llm.decontam import find_contamination
 from verishelf.llm.mixing import mix_sources
 from verishelf.llm.secrets import KINDS, scan_secrets
+from verishelf.llm.simhash import simhash_classes
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(extra)))
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole documents and their components at three bits."""
+    classes = simhash_classes(read(spark, sf_dir, "documents"))
+    return classes.select("doc_id", F.lower(F.hex("code")).alias("fingerprint"), "component_id")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of whole documents, with a digest of the base kinds."""
     found = scan_secrets(read(spark, sf_dir, "documents"))
@@ -50,6 +57,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op3_simhash_dedup": op3_simhash_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op8_decontaminate": op8_decontaminate,
         "op10_mix_sources": op10_mix_sources,

@@ -15,6 +15,7 @@ from verishelf.llm.decontam import find_contamination
 from verishelf.llm.mixing import mix_sources
 from verishelf.llm.secrets import KINDS, scan_secrets
 from verishelf.llm.simhash import simhash_classes
+from verishelf.llm.suffix_array import kept_digest, remove_repeats
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(listed(base), 256).alias("base_sha256"), listed("secrets").alias("spans"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of whole documents without strings of 100 bytes that start earlier."""
+    return kept_digest(remove_repeats(read(spark, sf_dir, "documents")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in whole documents."""
     found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -59,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": op1_chat_format,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_secret_scan": op4_secret_scan,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op8_decontaminate": op8_decontaminate,
         "op10_mix_sources": op10_mix_sources,
     }

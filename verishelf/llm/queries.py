@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from verishelf.llm._common import read
 from verishelf.llm.chat_format import format_chats, read_back
 from verishelf.llm.decontam import find_contamination
+from verishelf.llm.embed_dedup import embedding_classes
 from verishelf.llm.mixing import mix_sources
 from verishelf.llm.secrets import KINDS, scan_secrets
 from verishelf.llm.simhash import simhash_classes
@@ -55,6 +56,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    return embedding_classes(read(spark, sf_dir, "embeddings"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -67,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op8_decontaminate": op8_decontaminate,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
 

@@ -17,6 +17,7 @@ from verishelf.llm.mixing import mix_sources
 from verishelf.llm.secrets import KINDS, scan_secrets
 from verishelf.llm.simhash import simhash_classes
 from verishelf.llm.suffix_array import kept_digest, remove_repeats
+from verishelf.llm.toxicity import score_toxicity, train_toxicity
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,20 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(remove_repeats(read(spark, sf_dir, "documents")))
 
 
+def _held_out(column, parts: int, part: int):
+    """Whether crc32 of the id as text leaves this remainder; null ids read as empty text."""
+    return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit(""))), F.lit(parts)) == part
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of whole documents, learned from the rows that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = train_toxicity(docs, read(spark, sf_dir, "labels"), lambda c: ~_held_out(c, 3, 1))
+    return score_toxicity(docs, model, keep=["doc_id"]).select(
+        "doc_id", _held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in whole documents."""
     found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -72,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_mix_sources": op10_mix_sources,

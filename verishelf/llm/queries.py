@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from verishelf.llm._common import read
 from verishelf.llm.chat_format import format_chats, read_back
 from verishelf.llm.decontam import find_contamination
 from verishelf.llm.embed_dedup import embedding_classes
+from verishelf.llm.lang_id import identify_languages, train_lang_id
 from verishelf.llm.mixing import mix_sources
 from verishelf.llm.secrets import KINDS, scan_secrets
 from verishelf.llm.simhash import simhash_classes
@@ -28,6 +27,18 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(extra)))
 
 
+def _held_out(column, parts: int, part: int):
+    """Whether crc32 of the id as text leaves this remainder; null ids read as empty text."""
+    return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit(""))), F.lit(parts)) == part
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of whole documents, learned from the rows that aren't held out."""
+    docs, held = read(spark, sf_dir, "documents"), _held_out(F.col("doc_id"), 4, 2)
+    found = identify_languages(docs, train_lang_id(docs, ~held), keep=["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of whole documents and their components at three bits."""
     classes = simhash_classes(read(spark, sf_dir, "documents"))
@@ -48,11 +59,6 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(remove_repeats(read(spark, sf_dir, "documents")))
 
 
-def _held_out(column, parts: int, part: int):
-    """Whether crc32 of the id as text leaves this remainder; null ids read as empty text."""
-    return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit(""))), F.lit(parts)) == part
-
-
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of whole documents, learned from the rows that aren't held out."""
     docs = read(spark, sf_dir, "documents")
@@ -84,6 +90,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_language_id": op2_language_id,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op5_suffix_dedup": op5_suffix_dedup,

@@ -11,6 +11,7 @@ from verishelf.llm._common import read
 from verishelf.llm.chat_format import format_chats, read_back
 from verishelf.llm.decontam import find_contamination
 from verishelf.llm.embed_dedup import embedding_classes
+from verishelf.llm.html_extract import extract_pages
 from verishelf.llm.lang_id import identify_languages, train_lang_id
 from verishelf.llm.mixing import mix_sources
 from verishelf.llm.secrets import KINDS, scan_secrets
@@ -59,6 +60,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(remove_repeats(read(spark, sf_dir, "documents")))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    return extract_pages(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of whole documents, learned from the rows that aren't held out."""
     docs = read(spark, sf_dir, "documents")
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_html_extract": op6_html_extract,
         "op7_toxicity": op7_toxicity,
         "op8_decontaminate": op8_decontaminate,
         "op9_embedding_dedup": op9_embedding_dedup,

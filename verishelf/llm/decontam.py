@@ -78,19 +78,19 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, max_block_chars: int = 16_000_000, id_col: str = "doc_id") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, max_block_chars: int = 16_000_000, keep: list[str] | None = None) -> DataFrame:
     """Where documents hold n consecutive words of a benchmark item.
 
-    docs: id_col and text; benchmark: item_id and text; other columns are ignored. An item of
+    docs: text and the columns `keep` (doc_id and text); benchmark: item_id and text; other columns
+    are ignored, and columns that are named like the results make way for them. An item of
     fewer than n words, but some, is one window of its own length. Words are compared with A-Z
     lower-cased; everything but ASCII letters, digits and non-ASCII characters parts words.
     Each window hash that is in the set is verified word by word.
 
-    Returns per row of docs: id_col, text, n_words, spans (merged word ranges that are hit),
+    Returns per row of docs: the kept columns, n_words, spans (merged word ranges that are hit),
     items (sorted ids of the items hit). Null and empty texts have no words. Null item ids
     read "null". Repeated rows and items are kept and reported alike; an empty benchmark hits
     nothing.
@@ -102,8 +102,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, ma
     b = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("t")).where("t is not null")
     total = b.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // max_block_chars) or 1
-    found = docs.select(F.col(id_col), "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    schema = f"{id_col} {dict(found.dtypes)[id_col]}, text string, {_FOUND}"
+    keep = [c for c in keep or ["doc_id", "text"] if c not in ("n_words", "spans", "items")]
+    found = docs.select(
+        *keep,
+        *([] if "text" in keep else ["text"]),
+        F.lit(0).cast("long").alias("n_words"),
+        F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"),
+        F.expr("cast(array() as array<string>)").alias("items"),
+    )
+    schema, names = found.schema, found.columns
     for k in range(blocks):
         part = b if blocks == 1 else b.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         windows = docs.sparkSession.sparkContext.broadcast(Windows([(r["item"], bytes(r["t"])) for r in part.toLocalIterator()], n))
@@ -116,16 +123,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, ma
                 if blocks > 1:
                     spans = [_merge(s + [(x["start"], x["end"]) for x in old]) for s, old in zip(spans, batch.column("spans").to_pylist(), strict=True)]
                     items = [sorted({*i, *old}) for i, old in zip(items, batch.column("items").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column("text"),
-                        pa.array([g[0] for g in got], pa.int64()),
-                        pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPANS),
-                        pa.array(items, pa.list_(pa.string())),
-                    ],
-                    names=[id_col, "text", "n_words", "spans", "items"],
-                )
+                new = [pa.array([g[0] for g in got], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPANS), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names) - 3)), *new], names=names)
 
         found = found.mapInArrow(scan, schema)
         if k + 1 < blocks:

@@ -53,6 +53,7 @@ def mix_sources(
     seed: int = 11,
     rows_per_task: int = 250_000,
     max_broadcast_sources: int = 100_000,
+    carry: bool = False,
 ) -> DataFrame:
     """How many words a mix takes from each document.
 
@@ -66,7 +67,8 @@ def mix_sources(
     Targets: the sources in code point order, null last, weigh `weights` in turn; a source's
     target stops at `passes` times its size and the excess goes to the others by weight.
 
-    Returns per row of docs: doc_id, source, size, source_size, target, taken. Null texts and
+    Returns per row of docs: doc_id, source, size, source_size, target, taken, and text_hash (its
+    XXH64) if carry is set. Null texts and
     texts without words have size 0 and take 0; null doc_ids, repeated rows and ties are
     ordinary rows, and equal rows may swap results. An empty table gives an empty result.
 
@@ -80,6 +82,7 @@ def mix_sources(
             F.col("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("u"),
+            *([F.xxhash64("text").alias("text_hash")] if carry else []),
         )
     )
     targets = cut(_targets(base, weights, ratio, passes))
@@ -117,5 +120,5 @@ def mix_sources(
     taken = served.groupBy("sid", "upto").agg(F.sum(took).alias("got")).where("got > 0").withColumn("some", F.lit(True))
     rows = rows.withColumn("some", F.col("size") > 0)
     return rows.join(taken, ["sid", "upto", "some"], "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0).cast("long")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0).cast("long")).alias("taken"), *(["text_hash"] if carry else [])
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most that many rows, so that a worker holds little at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def raw_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding it."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

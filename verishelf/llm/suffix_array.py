@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verishelf.llm._common import cut, raw_bytes
+from verishelf.llm._common import cut, raw_bytes, slices
 
 GRAM = 16
 _U64 = np.uint64
@@ -178,12 +178,12 @@ def _segments(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = xxhash.xxh64_intdigest
-        for batch in batches:
+        for batch in slices(batches):
             docs_, texts = batch.column("doc").to_numpy(), raw_bytes(batch.column("text"))
             lo = 0
             while lo < len(texts):
                 hi, held = lo, 0
-                while hi < len(texts) and held < 1 << 23:
+                while hi < len(texts) and held < 1 << 21:
                     held += len(texts[hi] or b"")
                     hi += 1
                 parts = [(i, *segments_of(texts[i] or b"", length)) for i in range(lo, hi)]
@@ -250,21 +250,24 @@ def _texts_of(firsts: DataFrame, docs: DataFrame, length: int, hot: DataFrame) -
     wanted = firsts.join(hot, "anchor", "left").groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, doc, first, part = [], [], [], []
-            for d, t, parts in zip(batch.column("doc").to_pylist(), raw_bytes(batch.column("text")), batch.column("parts").to_pylist(), strict=True):
-                for p in parts:
-                    at, n = p["at"] >> 9, p["at"] >> 1 & 0xFF
-                    for s, m in [(at + i, 1) for i in range(n)] if p["hot"] else [(at, n)]:
+        names = ["key", "doc", "first", "part"]
+        for batch in slices(batches, 100):
+            key, doc, first, part, held = [], [], [], [], 0
+            for d, t, row in zip(batch.column("doc").to_pylist(), raw_bytes(batch.column("text")), batch.column("parts"), strict=True):
+                row = row.values
+                for anchor, at, is_hot in zip(*(row.field(c).to_pylist() for c in ("anchor", "at", "hot")), strict=True):
+                    at, n = at >> 9, at >> 1 & 0xFF
+                    for s, m in [(at + i, 1) for i in range(n)] if is_hot else [(at, n)]:
                         text = t[s : s + m + length - 1]
-                        key.append(xxhash.xxh64_intdigest(text) - 2**63 if p["hot"] else p["anchor"])
+                        key.append(xxhash.xxh64_intdigest(text) - 2**63 if is_hot else anchor)
                         doc.append(d)
                         first.append(s)
                         part.append(text)
-                if len(key) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(part, pa.binary())], names=["key", "doc", "first", "part"])
-                    key, doc, first, part = [], [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(part, pa.binary())], names=["key", "doc", "first", "part"])
+                        held += len(text)
+                    if held > 1 << 21:
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, doc, first)), pa.array(part, pa.binary())], names=names)
+                        key, doc, first, part, held = [], [], [], [], 0
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, doc, first)), pa.array(part, pa.binary())], names=names)
 
     return docs.join(wanted, "doc").select("doc", "text", "parts").mapInArrow(run, "key long, doc long, first long, part binary")
 
@@ -287,7 +290,7 @@ def _sorted_shards(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame
             runs = np.flatnonzero(edge)
             return pa.RecordBatch.from_arrays([pa.array(d[owner[runs]]), pa.array(start[at[runs]]), pa.array(np.diff(np.concatenate([runs, [len(at)]])))], names=["doc", "first", "count"])
 
-        for batch in batches:
+        for batch in slices(batches):
             ks = batch.column("key").to_pylist()
             rows = zip(ks, batch.column("doc").to_pylist(), batch.column("first").to_pylist(), batch.column("part").to_pylist(), strict=True)
             for k, d, s, p in rows:
@@ -305,7 +308,7 @@ def _sorted_shards(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame
     return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, first long, count long")
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 1 << 22, hot_variants: int = 20_000, id_col: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 1 << 20, hot_variants: int = 20_000, id_col: str = "doc_id") -> DataFrame:
     """Every byte of a text that lies in a string of `length` bytes which also starts earlier goes.
 
     Earlier: in a row with a smaller doc_id, or in the same text at an earlier start; matches
@@ -338,7 +341,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 1 <
     runs = whole.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for runs in batch.column("runs"):
                 runs = runs.values
@@ -362,7 +365,7 @@ def kept_digest(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     kind = dict(removed.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, gone, spans, digests = [], [], [], []
             for text, cuts in zip(raw_bytes(batch.column("text")), batch.column("removed").to_pylist(), strict=True):
                 h, at = hashlib.sha256(), 0

@@ -39,14 +39,15 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     step = np.zeros(n, dtype=np.int8)
     step[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))
-    at = np.where(step != 0, np.arange(n), n - 1)
+    at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n - 1))
     at = np.minimum.accumulate(at[::-1])[::-1]
     small = (step[at] > 0) & (text > 0)
+    del at, step
 
     words = _words(text, depth)
-    direct = np.flatnonzero(small)
+    direct = np.flatnonzero(small).astype(np.int32)
     direct = direct[np.argsort(words[direct], kind="stable")]
-    group = np.concatenate([[0], np.cumsum(words[direct[1:]] != words[direct[:-1]])]) if len(direct) else np.zeros(0, dtype=np.int64)
+    group = np.concatenate([[0], np.cumsum(words[direct[1:]] != words[direct[:-1]])]).astype(np.int32) if len(direct) else np.zeros(0, dtype=np.int32)
     for skip in range(8, depth, 8):
         tied = np.zeros(len(direct), dtype=bool)
         tied[1:] = group[1:] == group[:-1]
@@ -58,14 +59,16 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         order = np.lexsort((more, group[slots]))
         direct[slots] = direct[slots[order]]
         more, same = more[order], group[slots]
-        split = np.zeros(len(direct), dtype=np.int64)
+        split = np.zeros(len(direct), dtype=bool)
         split[slots[1:]] = (same[1:] != same[:-1]) | (more[1:] != more[:-1])
-        first = np.concatenate([[1], group[1:] != group[:-1]])
-        group = np.cumsum(np.where(tied, split | first, first))
+        split[0] = True
+        split[1:] |= group[1:] != group[:-1]
+        group = np.cumsum(split, dtype=np.int32)
 
     begin = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=256))])
     own = np.concatenate([[0], np.cumsum(np.bincount(text[direct], minlength=256))])
-    sa, front = np.empty(n, dtype=np.int64), begin[:-1].copy()
+    sa, front = np.empty(n, dtype=np.int32), begin[:-1].copy()
+    del words
 
     def put(before: np.ndarray) -> None:
         keys = text[before]
@@ -103,7 +106,11 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 def _words(text: np.ndarray, depth: int) -> np.ndarray:
     """The eight bytes from each position as a big-endian number; zeros follow the text."""
     padded = np.concatenate([text, np.zeros(depth + 16, dtype=np.uint8)])
-    return np.lib.stride_tricks.as_strided(padded.view(), (len(padded) - 8, 8), (1, 1)).copy().view(">u8").ravel().astype(_U64)
+    out = np.zeros(len(padded) - 8, dtype=_U64)
+    for k in range(8):
+        out <<= _U64(8)
+        out |= padded[k : k + len(out)]
+    return out
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
@@ -126,7 +133,7 @@ def repeated_windows(segments: list[bytes], doc: np.ndarray, start: np.ndarray,
     begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     owner = np.repeat(np.arange(len(segments)), count)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    number = np.full(len(text), -1, dtype=np.int64)
+    number = np.full(len(text), -1, dtype=np.int32)
     number[begins[owner] + offset] = np.arange(len(owner))
     order = suffix_array(text, length)
     order = order[number[order] >= 0]
@@ -332,7 +339,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 1 <
         by = [F.col(id_col).asc_nulls_last(), F.xxhash64("text")]
         base = base.repartitionByRange(*by).withColumn("pid", F.spark_partition_id())
         base = cut(cut(base).withColumn("doc", F.shiftleft(F.col("pid").cast("long"), 33) + F.row_number().over(Window.partitionBy("pid").orderBy(*by))).drop("pid"))
-    keyed = base.select("doc", "text")
+    # one plan for both joins below, so that the texts are dealt out by doc only once
+    keyed = base.select("doc", "text").where("doc is not null")
     folded = cut(_fold(_segments(keyed, length)))
     firsts = folded.where("anchor is not null")
     hot = firsts.groupBy("anchor").count().where(F.col("count") > hot_variants).select("anchor", F.lit(True).alias("is_hot"))
@@ -356,7 +364,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 1 <
                 out.append([{"start": a, "end": b} for a, b in zip(s[np.concatenate([[0], cutoff + 1])].tolist(), e[np.concatenate([cutoff, [len(e) - 1]])].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("text"), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[id_col, "text", "removed"])
 
-    joined = base.join(runs, "doc", "left").select(id_col, "text", "runs")
+    if plain:
+        joined = keyed.join(runs, "doc", "left").select(F.col("doc").cast(kind).alias(id_col), "text", "runs")
+    else:
+        joined = base.join(runs, "doc", "left").select(id_col, "text", "runs")
     return joined.mapInArrow(merge, f"{id_col} {kind}, text string, removed array<struct<start:long,end:long>>")
 
 

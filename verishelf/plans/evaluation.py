@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verishelf.functions import vocab
-from verishelf.operators import calibrate, match, reason, registry, runs
+from verishelf.operators import calibrate, gold, match, reason, registry, runs
 from verishelf.operators import characteristics as C
 from verishelf.operators import textmodel as M
 from verishelf.plans.inputs import candidate_pairs, products, table
@@ -116,6 +116,31 @@ def stratified_sample(spark, d):
     return M.stratified_sample(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "c_custkey", 60, 1)
 
 
+_CV = _GRAMS.format(doc="p_partkey", text="p_name || ' ' || p_brand", table="part").split(",\n  idf AS")[0] + """,
+  f AS (SELECT p_partkey AS doc, p_type AS label, (row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1) % 5 AS fold FROM part), o AS (SELECT i AS part_out FROM range(5) AS r(i)),
+  size AS (SELECT part_out, count(*) AS size FROM f, o WHERE fold <> part_out GROUP BY 1), x AS (SELECT part_out, doc, label, fold, term, n FROM tg JOIN f USING (doc), o),
+  idf AS (SELECT part_out, term, ln((any_value(size) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1 AS idf FROM x JOIN size USING (part_out) WHERE fold <> part_out GROUP BY 1, 2),
+  v0 AS (SELECT part_out, doc, label, fold, term, (1 + ln(n)) * idf AS w FROM x JOIN idf USING (part_out, term)), v AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY part_out, doc)) AS u FROM v0),
+  c0 AS (SELECT part_out, label, term, sum(u) AS w FROM v WHERE fold <> part_out GROUP BY 1, 2, 3), c AS (SELECT part_out, label, term, w / sqrt(sum(w * w) OVER (PARTITION BY part_out, label)) AS w FROM c0),
+  s AS (SELECT v.doc, c.label AS pred, sum(u * c.w) AS score FROM v JOIN c ON v.part_out = c.part_out AND v.term = c.term WHERE fold = v.part_out GROUP BY 1, 2)
+  SELECT doc, label AS truth, arg_min(pred, (-round(score, 9), pred)) AS pred FROM s JOIN f USING (doc) GROUP BY 1, 2"""
+
+
+@query(_CV)
+def cross_validate(spark, d):
+    return gold.cross_validate(cut(_part_docs(spark, d)), 5)
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS row_uid, CAST(NULL AS VARCHAR) AS problem WHERE false UNION ALL SELECT 'o' || o_orderkey, 'label and url disagree' FROM orders WHERE (o_orderstatus = 'F') <> (o_totalprice > 50000) UNION ALL SELECT 'o' || o_orderkey, 'no evidence' FROM orders WHERE o_orderpriority LIKE '5%'")
+def gold_label_checks(spark, d):
+    o = table(spark, d, "orders")
+    g = o.select(
+        F.concat(F.lit("o"), "o_orderkey").alias("row_uid"), F.when(F.col("o_totalprice") > 50000, "https://x.test").alias("url"),
+        F.when(F.col("o_orderstatus") == "F", "correct").otherwise("none").alias("label"), F.when(~F.col("o_orderpriority").startswith("5"), "seen").alias("evidence"),
+    )
+    return gold.url_label_problems(g)
+
+
 # ---- calibration ----------------------------------------------------------------------------
 
 _LABELLED = "l AS (SELECT doc_id, floor(least(n_chars, 4999) / 50) / 100 AS score, quality = 1 AS correct FROM labels JOIN documents USING (doc_id)), g AS (SELECT score, count(*) AS n, CAST(sum(correct::INT) AS DOUBLE) AS y FROM l GROUP BY 1)"

@@ -41,6 +41,18 @@ def test_planted_cases(spark, tmp_path):
     assert {d[0] for d in docs[:300]} - toxic <= left
 
 
+def test_clashing_columns(spark, tmp_path):
+    docs = [(i, f"word{i} " * 5 + f"tail{i}", "en", "s", 9) for i in range(8)] + [(None, "lonely words here", None, None, None)]
+    _write(spark, str(tmp_path), docs, [], [(1, "word1 word1 word1")])
+    names = ["toxicity", "items", "spans", "n_words", "code", "root", "t1", "size", "taken", "component_id", "pid"]
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", *[f"doc_id AS {n}" for n in names])
+    for name, stage in pipeline.STAGES[:-1]:
+        before, now = now.columns, stage(spark, now, str(tmp_path))
+        assert now.columns == before and all(r[n] == r["doc_id"] for r in now.collect() for n in names), name
+    assert {r["doc_id"] for r in now.collect()} == {None, *range(8)} - {1}
+    assert pipeline.mix(spark, now, str(tmp_path)).count() > 0
+
+
 def test_empty_tables(spark, tmp_path):
     _write(spark, str(tmp_path), [], [], [])
     assert pipeline.run(spark, str(tmp_path)).count() == 0

@@ -300,11 +300,11 @@ def drop_near_copies(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     doc_id, one stays. Texts without words are copies of each other.
     """
     labelled = simhash_classes(docs, scheme)
-    texts = cut(labelled.groupBy("t1", "t2").agg(F.first("root").alias("_root"), F.first("component_id").alias("_low")))
+    texts = cut(labelled.groupBy(F.col("t1").alias("_sh_1"), F.col("t2").alias("_sh_2")).agg(F.first("root").alias("_sh_root"), F.first("component_id").alias("_sh_low")))
     own = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").count().agg(F.max("count")).first()[0] or 0
     names = docs.columns
-    joined = docs.withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(1), "text")}).join(texts, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")))
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("_low")))
+    joined = docs.join(texts, (F.xxhash64("text") == F.col("_sh_1")) & (F.xxhash64(F.lit(1), "text") == F.col("_sh_2")))
+    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("_sh_low")))
     if own > 1:
-        kept = kept.dropDuplicates(["_root"])
+        kept = kept.dropDuplicates(["_sh_root"])
     return kept.select(*names)

@@ -18,6 +18,11 @@ from verishelf.llm.secrets import redact_secrets
 from verishelf.llm.simhash import SIMILAR, drop_near_copies
 from verishelf.llm.toxicity import score_toxicity, train_toxicity
 
+def _aside(docs: DataFrame, *results: str) -> dict[str, str]:
+    """New names for the columns of docs that are called like a stage's results."""
+    return {c: f"_own_{c}" for c in docs.columns if c.lower() in results}
+
+
 #: Documents with this score or more are rejected.
 TOXIC = 0.7
 
@@ -25,7 +30,9 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under TOXIC; the model learns from all labelled rows."""
     model = train_toxicity(docs, read(spark, sf_dir, "labels"), lambda c: F.lit(True))
-    return score_toxicity(docs.withColumnRenamed("toxicity", "_toxicity") if "toxicity" in docs.columns else docs, model).where(F.col("toxicity") < TOXIC).select(*docs.columns)
+    own = _aside(docs, "toxicity")
+    scored = score_toxicity(docs.withColumnsRenamed(own), model).where(F.col("toxicity") < TOXIC).drop("toxicity")
+    return scored.withColumnsRenamed({new: old for old, new in own.items()})
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +42,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window. Contaminated ones go whole."""
-    found = find_contamination(docs, read(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    own = _aside(docs, "n_words", "spans", "items")
+    set_aside = docs.withColumnsRenamed(own)
+    found = find_contamination(set_aside, read(spark, sf_dir, "benchmark"), keep=set_aside.columns)
+    return found.where(F.size("spans") == 0).drop("n_words", "spans", "items").withColumnsRenamed({new: old for old, new in own.items()})
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +56,14 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words of, with size, source_size, target and taken.
 
-    Rows that agree in doc_id and text count as one document.
+    Rows that agree in doc_id and text count as one document; columns called like the results
+    make way for them.
     """
+    docs = docs.drop("size", "source_size", "target", "taken")
     named = docs.select("doc_id", "text", "source")
     taken = mix_sources(named, carry=True).groupBy("doc_id", "text_hash").agg(*(F.max(c).alias(c) for c in ("size", "source_size", "target", "taken"))).where("taken > 0")
-    key = taken.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    return docs.join(key, F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash"))).select(*docs.columns, "size", "source_size", "target", "taken")
+    key = taken.withColumnsRenamed({"doc_id": "_mix_id", "text_hash": "_mix_hash"})
+    return docs.join(key, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.xxhash64("text").eqNullSafe(F.col("_mix_hash"))).select(*docs.columns, "size", "source_size", "target", "taken")
 
 
 STAGES = [

@@ -44,22 +44,31 @@ class Attributes(dict):
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
-        self.lexicon, self.rows = lexicon, []
+        self.lexicon, self.table = lexicon, np.zeros((4096, 6))
 
     def weight(self, word: str) -> float:
-        return max((self.lexicon.get(u, 0.0) for u in units(word)), default=0.0)
+        get = self.lexicon.get
+        best = get(f"={word}", 0.0)
+        for n in STEMS:
+            if len(word) <= n:
+                break
+            best = max(best, get(word[:n], 0.0))
+        return best
 
     def __missing__(self, token: str) -> int:
         word = core(token)
-        weight = self.weight(word) if word else 0.0
-        letters = sum(map(str.isalpha, word))
-        odd = 0 < letters < len(word) and any(not c.isalpha() and c not in "'’-." for c in word)
-        plain = "".join(c for c in word.translate(LEET) if c.isalpha()) if odd else ""
+        row = len(self)
+        if row == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        weight, plain = self.weight(word) if word else 0.0, ""
+        odd = bool(word) and not word.isalpha() and any(map(str.isalpha, word)) and any(not c.isalpha() and c not in "'’-." for c in word)
+        if odd:
+            plain = "".join(c for c in word.translate(LEET) if c.isalpha())
         hidden = self.weight(plain) if plain else 0.0
-        known = max((self.lexicon.get(f"={x}", 0.0) for x in (word, plain) if x), default=0.0)
-        self.rows.append((weight, float(word in SECOND_PERSON), float(odd), hidden, float(len(token) > 2 and token.isupper()), known))
-        self[token] = len(self.rows) - 1
-        return len(self.rows) - 1
+        known = max((self.lexicon.get(f"={x}", 0.0) for x in (word, plain) if x), default=0.0) if weight or hidden else 0.0
+        self.table[row] = weight, word in SECOND_PERSON, odd, hidden, len(token) > 2 and token.isupper(), known
+        self[token] = row
+        return row
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         """The features of a whole text, N_FEATURES numbers."""
@@ -68,7 +77,6 @@ class Attributes(dict):
             return out
         if len(self) > self.LIMIT:
             self.clear()
-            self.rows = []
         tokens = text.decode("utf-8", "replace").split()
         kinds = np.bincount(_CLASS[np.frombuffer(text, dtype=np.uint8)], minlength=7)
         letters = max(1, kinds[1] + kinds[2])
@@ -78,9 +86,7 @@ class Attributes(dict):
             return out
         get = self.__getitem__
         ids = np.fromiter(map(get, tokens), dtype=np.int64, count=len(tokens))
-        used, ids = np.unique(ids, return_inverse=True)
-        own = np.array([self.rows[i] for i in used.tolist()])
-        seen = own[ids]
+        seen = self.table[ids]
         n = len(tokens)
         strong = np.maximum(seen[:, 0], seen[:, 3])
         hit = strong > 0
@@ -91,9 +97,8 @@ class Attributes(dict):
             k = np.searchsorted(you, at)
             gap = np.minimum(np.abs(at - you[np.maximum(k - 1, 0)]), np.abs(at - you[np.minimum(k, len(you) - 1)]))
             near = int((gap <= 5).sum())
-        kinds_hit = np.maximum(own[:, 0], own[:, 3])
         out[0] = 100 * hit.sum() / n
-        out[1] = (kinds_hit > 0).sum()
+        out[1] = len(np.unique(ids[hit]))
         out[2] = strong.sum() / math.sqrt(n)
         out[3] = strong.max()
         out[4] = math.log1p(hit.sum())
@@ -103,7 +108,7 @@ class Attributes(dict):
         out[8] = (seen[:, 3] > 0).sum()
         out[14] = 100 * seen[:, 4].sum() / n
         out[15] = math.log1p(n)
-        out[16] = (own[:, 5] > 0).sum()
+        out[16] = len(np.unique(ids[seen[:, 5] > 0]))
         return out
 
 

@@ -132,3 +132,25 @@ def cross_validate(docs: DataFrame, k: int, doc: str = "doc", text: str = "text"
     best = dots.groupBy(doc).agg(F.min_by("pred", F.struct(-F.round("score", 9), F.col("pred"))).alias("pred"))
     least = folded.agg(F.min(label).alias("_first"))  # one row: what a document without known terms gets
     return folded.join(best, doc, "left").join(F.broadcast(least)).select(doc, F.col(label).alias("truth"), F.coalesce("pred", "_first").alias("pred"))
+
+
+def long_labels(table: DataFrame, columns: list[str], uid: str = "row_uid") -> DataFrame:
+    """uid, characteristic, value: label columns in long form; blank cells are null."""
+    own = [F.when(strip(F.col(c)) != "", strip(F.col(c))).alias(c) for c in columns]
+    return table.select(uid, *own).unpivot(uid, columns, "characteristic", "value")
+
+
+def as_text(number: Column) -> Column:
+    """A number in a model's answer as short text."""
+    from verishelf.functions.text import format_g
+
+    return format_g(number.cast("double"))
+
+
+def unseen_scores(vecs: DataFrame, docs: DataFrame, names: DataFrame, idf: DataFrame, doc: str, label: str) -> DataFrame:
+    """doc, label, score: similarity to the names of classes, for classes without examples.
+
+    names: label. Reported only; nothing is decided by it.
+    """
+    named = M.vectors(M.terms(names.select(F.col(label), F.col(label).alias("_text")), label, "_text"), idf, label)
+    return M.class_scores(vecs, docs, named, doc, label)

@@ -104,3 +104,42 @@ def explorer_page(card_table: DataFrame, title: str, most: int = 5_000) -> str:
         "document.getElementById('out').textContent=rows.map(r=>JSON.stringify(r,null,1)).filter(t=>t.toLowerCase().includes(q)).join('\\n\\n')};"
         "document.getElementById('q').oninput=show;show()</script>"
     )
+
+
+def values_missing(values: DataFrame) -> DataFrame:
+    """row_uid of complete rows whose characteristics no model has looked at yet.
+
+    values: row_uid, source, values (map).
+    """
+    return values.where((F.col("source") != "llm") & F.forall(F.map_values("values"), lambda v: v.isNull())).select("row_uid")
+
+
+def traces(stages: dict[str, DataFrame], run_id: str) -> DataFrame:
+    """One JSON object a row for an append-only trace, with the run it belongs to."""
+    return cards(stages).select("row_uid", F.to_json(F.struct(F.lit(run_id).alias("run_id"), "row_uid", F.col("card"))).alias("trace"))
+
+
+def hit_selections(hits: DataFrame, entities: DataFrame) -> DataFrame:
+    """Selections that registry hits carry from their entity: url, title, module, values, confidence."""
+    own = entities.select("entity_id", F.col("resolved_url").alias("url"), F.col("module"), F.col("characteristics").alias("values"), "confidence")
+    return hits.where("hit").join(own, "entity_id").select("row_uid", "entity_id", "tier", "url", "module", "values", "confidence", F.lit("registry").alias("module_source"))
+
+
+def explorer_summary(rows: DataFrame, top: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Counters over all rows, and the most frequent modules.
+
+    rows: tier, url, reason, adjudicated, values_source, applicable, values, image_sha256, module.
+    """
+    coded = F.size(F.map_filter("values", lambda k, v: v.isNotNull()))
+    totals = rows.agg(
+        F.count("*").alias("rows"),
+        F.count("url").alias("selected"),
+        F.count_if(F.col("reason") == "gtin_exact").alias("gtin_confirmed"),
+        F.count_if("adjudicated").alias("adjudicated"),
+        F.count_if(F.col("values_source") == "llm").alias("extracted"),
+        F.sum(F.size("applicable")).alias("applicable_cells"),
+        F.sum(coded).alias("coded_cells"),
+        F.count("image_sha256").alias("with_image"),
+    )
+    modules = rows.where("module is not null").groupBy("module").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module").limit(top)
+    return totals, modules

@@ -63,3 +63,52 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], *, pause: floa
             yield pd.DataFrame(rows, columns=["url", "status", "http_status", "html"]).astype({"http_status": "Int32"})
 
     return ready.mapInPandas(run, "url string, status string, http_status int, html string")
+
+
+def search(queries: DataFrame, find: Callable[[str, int], list[tuple[str, str]]], *, limit: int = 8, pause: float = 2.0, retries: int = 3, sleep: Callable[[float], None] = time.sleep, partitions: int = 1) -> DataFrame:
+    """text, rank, url, title, failed: answers of an injected search, each distinct text asked once.
+
+    A search backend is shared, so its load is set by the number of partitions. A search that
+    fails every time gives one row with failed set.
+    """
+    asked = queries.select("text").distinct().repartition(partitions)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for text in f["text"]:
+                for k in range(retries):
+                    try:
+                        found = find(text, limit)[:limit]
+                        rows += [(text, i + 1, url, title, False) for i, (url, title) in enumerate(found)]
+                        break
+                    except Exception:  # whatever a backend raises is a failed search
+                        sleep(random.uniform(0, 2**k))
+                else:
+                    rows.append((text, None, None, None, True))
+                sleep(pause)
+            yield pd.DataFrame(rows, columns=["text", "rank", "url", "title", "failed"]).astype({"rank": "Int32", "failed": bool})
+
+    return asked.mapInPandas(run, "text string, rank int, url string, title string, failed boolean")
+
+
+def images(urls: DataFrame, get: Callable[[str], tuple[str, bytes]], *, kinds: tuple[str, ...] = ("image/jpeg", "image/png", "image/webp"), most_bytes: int = 8 << 20) -> DataFrame:
+    """url, status, media_type, sha256, data: images of allowed kinds and sizes by an injected getter."""
+    import hashlib
+
+    ready = urls.select("url", U.safe(F.col("url")).alias("ok"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for url, ok in zip(f["url"], f["ok"], strict=True):
+                try:
+                    kind, data = get(url) if ok else ("", b"")
+                    status = "blocked" if not ok else "bad_type" if kind not in kinds else "too_large" if len(data) > most_bytes else "ok"
+                except Exception:  # whatever a getter raises is a failed fetch
+                    kind, data, status = "", b"", "timeout"
+                good = status == "ok"
+                rows.append((url, status, kind if good else None, hashlib.sha256(data).hexdigest() if good else None, data if good else None))
+            yield pd.DataFrame(rows, columns=["url", "status", "media_type", "sha256", "data"])
+
+    return ready.mapInPandas(run, "url string, status string, media_type string, sha256 string, data binary")

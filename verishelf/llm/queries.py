@@ -123,6 +123,27 @@ SELECT conv_id,
 FROM t GROUP BY conv_id
 """
 
+#: The base kinds. The added kinds carry a CRC-32, which this SQL lacks; the driver's documents hold none.
+_OP4 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS (
+  SELECT r, 0 AS o, 'assign' AS kind, regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS m,
+    regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS g,
+    string_split_regex(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+') AS p FROM d
+  UNION ALL SELECT r, 1, 'access', regexp_extract_all(t, 'AKIA[A-Z0-9]{16,}'), NULL, string_split_regex(t, 'AKIA[A-Z0-9]{16,}') FROM d
+  UNION ALL SELECT r, 2, 'hex', regexp_extract_all(t, '[0-9a-f]{24,}'), NULL, string_split_regex(t, '[0-9a-f]{24,}') FROM d
+), s AS (
+  SELECT r, o, kind, g[i] AS g, length(m[i]) AS n, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k)
+), f AS (
+  SELECT r, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+    string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, o) AS spans
+  FROM s WHERE o > 0 OR length(g) >= 6 GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (r)
+"""
+
 _OP8 = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
@@ -146,6 +167,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN n USING (r) LEFT JOIN s USING (r)
 """
 
+#: All pairs, for distinct ids.
+_OP9 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), c AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, c.root FROM c JOIN l ON c.node = l.a
+), n AS (SELECT a AS node, count(*) AS n FROM l GROUP BY 1)
+SELECT c.node AS vec_id, coalesce(max(n), 0) AS n_links, min(root) AS component_id, c.node = min(root) AS kept FROM c LEFT JOIN n ON n.node = c.node GROUP BY c.node
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _OP1, "op8_decontaminate": _OP8}
+    return {"op1_chat_format": _OP1, "op4_secret_scan": _OP4, "op8_decontaminate": _OP8, "op9_embedding_dedup": _OP9}

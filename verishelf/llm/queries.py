@@ -144,6 +144,14 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN f USING (r)
 """
 
+#: For pages whose main text is their article element and that use these references.
+_OP6 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*?)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<!--.*?-->', '', 'g'), '(?i)</?(p|h1|h2|br|div|ul|ol|li)\b[^>]*>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g') AS h FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(h, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
+
 _OP8 = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
@@ -182,4 +190,4 @@ SELECT c.node AS vec_id, coalesce(max(n), 0) AS n_links, min(root) AS component_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _OP1, "op4_secret_scan": _OP4, "op8_decontaminate": _OP8, "op9_embedding_dedup": _OP9}
+    return {"op1_chat_format": _OP1, "op4_secret_scan": _OP4, "op6_html_extract": _OP6, "op8_decontaminate": _OP8, "op9_embedding_dedup": _OP9}

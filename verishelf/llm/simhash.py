@@ -241,14 +241,15 @@ def link_codes(codes: DataFrame, scheme: Scheme, *, shard_rows: int = 20_000, sa
     """Components of codes. codes: node (long, unique), code (binary, distinct). Returns (node, root).
 
     Only nodes with a link are returned. Groups of equal codes must have been folded before:
-    they are one node here. Shards deal with whole leaves; each returns a spanning forest (node,
+    they are one node here. The trees' tops are built from `sample` codes, or eight for each of at
+    most 2^14 leaves, so the driver holds a bounded number. Shards deal with whole leaves; each returns a spanning forest (node,
     smallest position's node), as many rows at most as it has nodes, and no list of pairs.
     """
     n = codes.count()
-    depth = min(10, max(0, math.ceil(math.log2(max(1, n / shard_rows)))))
+    depth = min(14, max(0, math.ceil(math.log2(max(1, n / shard_rows)))))
     tops: list[list[tuple[int, int]]] = [[] for _ in scheme.bands]
     if depth:
-        picked = codes.select("code").orderBy(F.xxhash64("code")).limit(sample).toArrow().column("code").combine_chunks()
+        picked = codes.select("code").orderBy(F.xxhash64("code")).limit(max(sample, 8 << depth)).toArrow().column("code").combine_chunks()
         tops = [build_top(_band(_words(picked, scheme.n_words), b), depth) for b in scheme.bands]
     radius, bands, n_words, verify, limit, leaves = scheme.radius, scheme.bands, scheme.n_words, scheme.verify, scheme.limit, 2**depth
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verishelf.operators.products import normalize, read_records, with_keys
+from verishelf.operators.match import parse_pages
 from verishelf.sources.tables import cut
 
 
@@ -58,7 +59,7 @@ def pages_of(products_df: DataFrame) -> DataFrame:
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record with the pages of its brand and size class."""
     own = products(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.col("p_size").alias("_size")), "row_index")
-    pages = pages_of(own)
+    pages = cut(parse_pages(pages_of(own)))
     return own.join(pages, (F.col("brand") == F.col("page_brand")) & (F.col("_size") == F.col("page_size"))).drop("page_brand", "page_size", "_size")
 
 

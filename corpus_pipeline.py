@@ -15,7 +15,7 @@ from verishelf.llm._common import ensure_checkpoint_dir, read
 from verishelf.llm.decontam import find_contamination
 from verishelf.llm.mixing import mix_sources
 from verishelf.llm.secrets import redact_secrets
-from verishelf.llm.simhash import SIMILAR, drop_near_copies
+from verishelf.llm.simhash import drop_near_copies
 from verishelf.llm.toxicity import score_toxicity, train_toxicity
 
 def _aside(docs: DataFrame, *results: str) -> dict[str, str]:
@@ -36,8 +36,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
-    return drop_near_copies(docs, SIMILAR)
+    """One document of each group of near copies (five-word shingles, exact Jaccard similarity 0.8)."""
+    return drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

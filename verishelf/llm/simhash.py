@@ -6,6 +6,8 @@ vantage points prunes by the triangle inequality there. The top of each band's t
 the driver from a bounded sample and deals fingerprints to shards: each to the shard that holds
 it, and as a visitor to those shards whose boundary is within the radius. A shard goes on with
 trees of its own down to small leaves and verifies each pair on the whole fingerprint.
+
+Near copies of the pipeline are found without fingerprints: see similar_classes.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verishelf.llm._common import components, cut, raw_bytes
+from verishelf.llm._common import components, cut, raw_bytes, slices
 
 _U8, _U64 = np.uint8, np.uint64
 _BITS = np.unpackbits(np.arange(256, dtype=_U8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -92,7 +94,7 @@ def _code5(text: bytes) -> list[int]:
     return [majority(_mixed(pairs, j)) for j in range(4)] + [majority(_mixed(fives, j)) for j in range(8)]
 
 
-#: Similarity 0.8 on sets of 5-word shingles. A pair of Jaccard similarity J has the cosine
+#: An estimate of similarity 0.8 on sets of 5-word shingles; similar_classes is exact. A pair of Jaccard similarity J has the cosine
 #: 2J / (1 + J), and each of its bits differs with probability arccos(cosine) / pi: 0.151 at 0.8.
 #: 512 bits estimate it within 0.016; the limit lies one deviation above. Candidates come from
 #: 2-word shingles, which edits disturb less: 0.1 at 0.8, so that each of ten bands of 24 bits
@@ -294,13 +296,197 @@ def simhash_classes(docs: DataFrame, scheme: Scheme = THREE_BITS, *, id_col: str
     return prints.join(labelled.select("code", "root").join(lows, "root"), "code")
 
 
-def drop_near_copies(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
+# ---- exact similarity -----------------------------------------------------------------------
+
+#: Of each shared shingle's texts, those from the first to the second number are compared with
+#: all after them in one round; a round leaves out pairs that the rounds before have connected.
+HUBS = ((0, 2), (2, 16), (16, 1 << 62))
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The sorted hashes of a text's different five-word shingles, letters of ASCII in lower case."""
+    return np.unique(shingle_hashes(text.lower().split(), 5))
+
+
+def _common_shingles(docs: DataFrame, texts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about `texts` different texts have, sorted, and their counts."""
+    every = max(1, docs.count() // texts)
+    picked = docs.select("text").where(F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(every)) == 0).dropDuplicates(["text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t or b"") for t in raw_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=_U64), *sets]).view(np.int64))], names=["token"])
+
+    counts = picked.mapInArrow(run, "token long").groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(most).toArrow()
+    token, count = counts.column("token").to_numpy().view(_U64), counts.column("count").to_numpy()
+    order = np.argsort(token)
+    return token[order], count[order]
+
+
+def prefix_of(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
+    """The rarest shingles of a set, most rare first: two sets of similarity num / den share one there."""
+    token, count = common
+    rare = np.zeros(len(hashes), dtype=np.int64)
+    if len(token):
+        at = np.minimum(np.searchsorted(token, hashes), len(token) - 1)
+        rare = np.where(token[at] == hashes, count[at], 0)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, rare))][: n - -(-num * n // den) + 1 if n else 0]
+
+
+def _runs(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a sorted column: where its run begins, and the run's length."""
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    sizes = np.diff(np.concatenate([first, [len(token)]]))
+    return np.repeat(first, sizes), np.repeat(sizes, sizes)
+
+
+def _by_token(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first of them, cut between its values only."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(c).to_numpy() for c in names]
+        if now[0][-1] != now[0][0] or (held and held[-1][0][-1] != now[0][0]):
+            first = int(np.searchsorted(now[0], now[0][-1]))
+            yield [np.concatenate([*(h[i] for h in held), c[:first]]) for i, c in enumerate(now)]
+            held = [[c[first:] for c in now]]
+        else:
+            held.append(now)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def hub_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, pos: np.ndarray, label: np.ndarray, hubs: tuple[int, int], num: int, den: int, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a token whose first is one of its `hubs`, whose labels differ and whose sets can be similar.
+
+    If the token is the first that two sets share, what follows it in the shorter rest bounds
+    what they have in common; every similar pair passes at the first one.
+    """
+    start, many = _runs(token)
+    rank, held, a_, b_ = np.arange(len(token)) - start, 0, [], []
+    alive = np.flatnonzero(many > hubs[0] + 1)
+    k = hubs[0]
+    while len(alive) and k < hubs[1]:
+        alive = alive[rank[alive] > k]
+        hub = start[alive] + k
+        both = size[hub] + size[alive]
+        ok = (label[hub] != label[alive]) & (den * np.minimum(size[hub], size[alive]) >= num * np.maximum(size[hub], size[alive]))
+        ok &= (num + den) * np.minimum(size[hub] - pos[hub], size[alive] - pos[alive]) >= num * both
+        a_.append(node[hub[ok]])
+        b_.append(node[alive[ok]])
+        held += int(ok.sum())
+        if held > block:
+            yield np.concatenate(a_), np.concatenate(b_)
+            held, a_, b_ = 0, [], []
+        k += 1
+    if held:
+        yield np.concatenate(a_), np.concatenate(b_)
+
+
+def _can_pair(token: np.ndarray, node: np.ndarray, size: np.ndarray, pos: np.ndarray, num: int, den: int, near: int = 16) -> np.ndarray:
+    """Rows that hub_pairs may put into a pair; for tokens with more than `near` rows, all of them."""
+    at = _runs(token)[1] > near
+    for k in range(1, near):
+        a = np.flatnonzero(token[k:] == token[:-k]) if len(token) > k else np.zeros(0, dtype=np.int64)
+        small, large = np.minimum(size[a], size[a + k]), np.maximum(size[a], size[a + k])
+        a = a[(den * small >= num * large) & ((num + den) * np.minimum(size[a] - pos[a], size[a + k] - pos[a + k]) >= num * (small + large))]
+        at[a] = at[a + k] = True
+    return at
+
+
+def similar_classes(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "doc_id", sample: int = 20_000, most_common: int = 1 << 18) -> DataFrame:
+    """One row per row of docs: id_col, t1, t2 (hashes of the text), node, root, component_id.
+
+    Texts are linked if the Jaccard similarity of their sets of five-word shingles is num / den or
+    more, by exact count; linked texts, directly or over others, share a root, and component_id is
+    the smallest id_col among them, nulls left out. No similar pair is missed: shingles have one
+    order, and similar sets share one of their first. A sample makes that order go from rare to
+    common, so that a template's shingles come last; it decides on work alone. Equal sets are
+    folded first. Texts without words have the empty set, and are copies of each other.
+    """
+    ids = docs.select(F.col(id_col), "text").select(F.col(id_col).alias(id_col), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    kind = dict(ids.dtypes)[id_col]
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, sample, most_common))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            node, size, prefix = [], [], []
+            for t in raw_bytes(batch.column("text")):
+                hashes = shingle_set(t or b"")
+                node.append(xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63)
+                size.append(len(hashes))
+                prefix.append(prefix_of(hashes, common.value, num, den).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("t1"), batch.column("t2"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary())], names=[id_col, "t1", "t2", "node", "size", "prefix"])
+
+    prints = cut(ids.mapInArrow(prefixes, f"`{id_col}` {kind}, t1 long, t2 long, node long, size long, prefix binary"))
+    classes = prints.groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("text_key"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            tokens = [np.frombuffer(p, dtype=np.int64) for p in batch.column("prefix").to_pylist()]
+            many = np.array([len(t) for t in tokens], dtype=np.int64)
+            pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *tokens])), *(pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("node", "size")), pa.array(pos)], names=["token", "node", "size", "pos"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "node", "size", "pos"]
+        for columns in _by_token(batches, names):
+            if len(columns[0]):
+                at = _can_pair(*columns, num, den)
+                yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in columns], names=names)
+
+    dealt = classes.select("node", "size", "prefix").mapInArrow(postings, "token long, node long, size long, pos long")
+    shared = cut(dealt.repartition("token").sortWithinPartitions("token", "node").mapInArrow(several, "token long, node long, size long, pos long"))
+    keys = prints.select("node", "t1", "t2").join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("k")).select("node", "k.t1", "k.t2")
+    wanted = ids.select("text", "t1", "t2").join(keys, ["t1", "t2"]).select("node", "text").dropDuplicates(["node"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t or b"").tobytes() for t in raw_bytes(batch.column("text"))], pa.binary())], names=["node", "hashes"])
+
+    sets = cut(wanted.mapInArrow(sets_of, "node long, hashes binary"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ok = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=_U64), np.frombuffer(y, dtype=_U64)
+                ok.append((num + den) * len(np.intersect1d(x, y, assume_unique=True)) >= num * (len(x) + len(y)))
+            at = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+
+    edges, roots = None, shared.select("node", F.col("node").alias("root")).limit(0)
+    for hubs in HUBS:
+
+        def emit(batches: Iterator[pa.RecordBatch], hubs: tuple[int, int] = hubs) -> Iterator[pa.RecordBatch]:
+            for columns in _by_token(batches, ["token", "node", "size", "pos", "label"]):
+                for a, b in hub_pairs(*columns, hubs, num, den) if len(columns[0]) else ():
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        labelled = shared.join(roots, "node", "left").select("token", "node", "size", "pos", F.coalesce("root", "node").alias("label"))
+        pairs = labelled.repartition("token").sortWithinPartitions("token", "node").mapInArrow(emit, "a long, b long").distinct()
+        x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+        found = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionAll(found)
+            roots = components(edges)
+    labels = prints.groupBy("node").agg(F.min(id_col).alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    labels = cut(labels)
+    lows = labels.groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.select(id_col, "t1", "t2", "node").join(labels.select("node", "root").join(lows, "root"), "node")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies: that with the smallest doc_id.
 
-    Columns stay. Null doc_ids come last in a group; of rows that share a group's smallest
+    Near copies: five-word shingles of an exact Jaccard similarity of 0.8 or more, and chains
+    of such pairs. Columns stay. Null doc_ids come last in a group; of rows that share a group's smallest
     doc_id, one stays. Texts without words are copies of each other.
     """
-    labelled = simhash_classes(docs, scheme)
+    labelled = similar_classes(docs)
     texts = cut(labelled.groupBy(F.col("t1").alias("_sh_1"), F.col("t2").alias("_sh_2")).agg(F.first("root").alias("_sh_root"), F.first("component_id").alias("_sh_low")))
     own = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").count().agg(F.max("count")).first()[0] or 0
     names = docs.columns

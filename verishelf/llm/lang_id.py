@@ -184,11 +184,12 @@ def train_lang_id(docs: DataFrame, trainable: Column, *, hidden: int = 8, max_wi
 
     It learns from at most max_windows windows of `width` bytes, two from each drawn row at
     hashed places of its whole text; rows are drawn by a hash of their text, rarer languages
-    more often, so that languages come in about equal shares. Without such rows the network has
+    more often, so that languages come in about equal shares. Repeated windows of a language and
+    repeated texts count once. Without such rows the network has
     no labels. More than max_labels different values raise an error.
     """
     rows = docs.select("text", "lang").where(trainable).where("text is not null and lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_labels + 1).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count().limit(max_labels + 1).collect()}
     if len(counts) > max_labels:
         raise ValueError(f"more than {max_labels} languages")
     labels = sorted(counts)
@@ -196,7 +197,7 @@ def train_lang_id(docs: DataFrame, trainable: Column, *, hidden: int = 8, max_wi
         return Network.fresh([], hidden, seed)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, float(n))])
     place = lambda j: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(j), "text"), F.greatest(F.length("text") - width, F.lit(1))) + 1).cast("int"), width)
-    drawn = rows.select("lang", F.explode(F.array(place(0), place(1))).alias("piece")).withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "piece"), F.lit(1 << 40)) * share[F.col("lang")])
+    drawn = rows.select("lang", F.explode(F.array(place(0), place(1))).alias("piece")).distinct().withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "piece"), F.lit(1 << 40)) * share[F.col("lang")])
     got = drawn.orderBy("turn", "piece", "lang").limit(max_windows).collect()
     target = np.array([labels.index(r["lang"]) for r in got])
     windows = np.stack([np.frombuffer((r["piece"].encode() * width)[:width], dtype=np.uint8) for r in got])

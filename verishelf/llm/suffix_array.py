@@ -253,13 +253,13 @@ def _fold(segments: DataFrame) -> DataFrame:
 
 
 def _texts_of(firsts: DataFrame, docs: DataFrame, length: int, hot: DataFrame) -> DataFrame:
-    """key, doc, first, text: the bytes of first segments; those of hot anchors window by window."""
+    """key, print, doc, first, part: the bytes of first segments; of hot anchors, two hashes of each window."""
     wanted = firsts.join(hot, "anchor", "left").groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc", "first", "part"]
+        names = ["key", "print", "doc", "first", "part"]
         for batch in slices(batches, 100):
-            key, doc, first, part, held = [], [], [], [], 0
+            key, prints, doc, first, part, held = [], [], [], [], [], 0
             for d, t, row in zip(batch.column("doc").to_pylist(), raw_bytes(batch.column("text")), batch.column("parts"), strict=True):
                 row = row.values
                 for anchor, at, is_hot in zip(*(row.field(c).to_pylist() for c in ("anchor", "at", "hot")), strict=True):
@@ -267,23 +267,28 @@ def _texts_of(firsts: DataFrame, docs: DataFrame, length: int, hot: DataFrame) -
                     for s, m in [(at + i, 1) for i in range(n)] if is_hot else [(at, n)]:
                         text = t[s : s + m + length - 1]
                         key.append(xxhash.xxh64_intdigest(text) - 2**63 if is_hot else anchor)
+                        prints.append(xxhash.xxh64_intdigest(text, 1) - 2**63 if is_hot else 0)
                         doc.append(d)
                         first.append(s)
-                        part.append(text)
+                        part.append(None if is_hot else text)
                         held += len(text)
                     if held > 1 << 21:
-                        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, doc, first)), pa.array(part, pa.binary())], names=names)
-                        key, doc, first, part, held = [], [], [], [], 0
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, doc, first)), pa.array(part, pa.binary())], names=names)
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, prints, doc, first)), pa.array(part, pa.binary())], names=names)
+                        key, prints, doc, first, part, held = [], [], [], [], [], 0
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, prints, doc, first)), pa.array(part, pa.binary())], names=names)
 
-    return docs.join(wanted, "doc").select("doc", "text", "parts").mapInArrow(run, "key long, doc long, first long, part binary")
+    return docs.join(wanted, "doc").select("doc", "text", "parts").mapInArrow(run, "key long, print long, doc long, first long, part binary")
 
 
 def _sorted_shards(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """doc, first, count: runs of windows that start earlier elsewhere, among first segments."""
+    """doc, first, count: runs of windows that start earlier elsewhere, among first segments.
+
+    Windows of hot anchors come in order: the first of equal ones stays, the others go at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, first, part, held = [], [], [], [], 0
+        seen = None
 
         def solve(n: int) -> pa.RecordBatch:
             d, s = np.array(doc[:n], dtype=np.int64), np.array(first[:n], dtype=np.int64)
@@ -299,8 +304,14 @@ def _sorted_shards(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame
 
         for batch in slices(batches):
             ks = batch.column("key").to_pylist()
-            rows = zip(ks, batch.column("doc").to_pylist(), batch.column("first").to_pylist(), batch.column("part").to_pylist(), strict=True)
-            for k, d, s, p in rows:
+            again: list[tuple[int, int]] = []
+            rows = zip(ks, batch.column("print").to_pylist(), batch.column("doc").to_pylist(), batch.column("first").to_pylist(), batch.column("part").to_pylist(), strict=True)
+            for k, q, d, s, p in rows:
+                if p is None:
+                    if seen == (k, q):
+                        again.append((d, s))
+                    seen = (k, q)
+                    continue
                 if held > shard_bytes and k != key[-1]:
                     yield solve(len(key))
                     key, doc, first, part, held = [], [], [], [], 0
@@ -309,10 +320,13 @@ def _sorted_shards(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame
                 first.append(s)
                 part.append(p)
                 held += len(p)
+            if again:
+                d, s = np.array(again, dtype=np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(np.ones(len(s), dtype=np.int64))], names=["doc", "first", "count"])
         if key:
             yield solve(len(key))
 
-    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, first long, count long")
+    return parts.repartition("key").sortWithinPartitions("key", "print", "doc", "first").mapInArrow(run, "doc long, first long, count long")
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 1 << 20, hot_variants: int = 20_000, id_col: str = "doc_id") -> DataFrame:
@@ -327,7 +341,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 1 <
     ranges, merged and sorted.
 
     An anchor with more than hot_variants different segments is dealt out window by window, by a
-    hash of the window, so no shard grows with a frequent string; equal segments are folded where
+    hash of the window, and equal windows are folded as they stream by, so no shard grows with a
+    frequent string; equal segments are folded where
     they are read and again in the shuffle.
     """
     base = docs.select(F.col(id_col), F.coalesce("text", F.lit("")).alias("text"))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
-#: Characters after which a path isn't prolonged: what lies deeper shares its container's.
+#: Characters of a path that are kept as they are; of a longer one, a hash of all of it follows them.
 MAX_PATH = 400
 
 
@@ -67,9 +68,11 @@ def _opened(tag: str, attributes: str, parent: Node) -> Node:
     if tag not in ("article", "main", "body", "html"):
         skipped = skipped or bool(parts & SKIPPED_WORDS)
     path = parent.path
-    if tag in CONTAINERS and len(path) < MAX_PATH:
+    if tag in CONTAINERS:
         classes = sorted({re.sub(r"\d+", "#", n.lower()) for n in a.get("class", "").split()})
         path = f"{path}>{'.'.join([tag, *classes])}"
+        if len(path) > MAX_PATH:
+            path = f"{path[:MAX_PATH]}~{xxhash.xxh3_128_hexdigest(path.encode('utf-8', 'surrogatepass'))}"
     hint = {"article": 2.0, "main": 1.5}.get(tag, 1.0) * (1.25 if parts & CONTENT_WORDS else 1.0)
     return Node(tag, path, skipped, hint, parent)
 
@@ -163,17 +166,19 @@ def _text(node: Node, out: list[str]) -> None:
 
 
 def extract(root: Node, paths: list[str]) -> str:
-    """The text of the outermost containers on the first path that the page has text on."""
+    """The text of the containers on the first path that the page has text on.
+
+    A container's path is longer than those above it, so none lies in another of its path.
+    """
     by_path: dict[str, list[Node]] = {}
-    todo = [(root, frozenset())]
+    todo = [root]
     while todo:
-        node, above = todo.pop()
+        node = todo.pop()
         if node.skipped:
             continue
-        if node.tag in CONTAINERS and node.path not in above:
+        if node.tag in CONTAINERS:
             by_path.setdefault(node.path, []).append(node)
-            above = above | {node.path}
-        todo.extend((c, above) for c in reversed(node.children) if isinstance(c, Node))
+        todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
     for path in paths:
         out: list[str] = []
         for node in by_path.get(path, []):

@@ -40,6 +40,7 @@ _PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 #: Characters of a path that are kept as they are; of a longer one, a hash of all of it follows them.
 MAX_PATH = 400
+_SPECIAL = re.compile(r"[>\"']")
 
 
 @dataclass
@@ -77,10 +78,23 @@ def _opened(tag: str, attributes: str, parent: Node) -> Node:
     return Node(tag, path, skipped, hint, parent)
 
 
+def _tag_end(page: str, at: int, open_: set[int]) -> int | None:
+    """Where the > of a tag is that lies outside quotes. open_: quotes after which there is none."""
+    tried = []
+    while (m := _SPECIAL.search(page, at)) and m.start() not in open_:
+        if m[0] == ">":
+            return m.start()
+        tried.append(m.start())
+        if (at := page.find(m[0], m.end()) + 1) == 0:
+            break
+    open_.update(tried)
+    return None
+
+
 def parse(page: str) -> Node:
     """A tree of elements and text. Tags left open are closed by what must follow them."""
     root = now = Node("body", "", False)
-    at = 0
+    at, open_, last = 0, set(), page.rfind(">")
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -89,6 +103,8 @@ def parse(page: str) -> Node:
         if not m:
             return root
         at = m.end()
+        long = _tag_end(page, m.end(5), open_) if m[5] and m.end(5) <= last else None
+        at = at if long is None else long + 1
         tag = (m[2] or m[5] or "").lower()
         if not tag or tag in ("html", "body"):
             continue
@@ -101,7 +117,7 @@ def parse(page: str) -> Node:
             elif tag in BLOCKS:
                 now.children.append(Node("br", now.path, False, 1.0, now))
             continue
-        attributes = m[3] if m[2] else m[6] or ""
+        attributes = m[3] if m[2] else m[6] or "" if long is None else page[m.end(5) : long]
         node = now
         if tag in CLOSES_P or tag in ("dd", "dt", "td", "th", "tr", "option"):
             ends = {"li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}.get(tag, ("p",))

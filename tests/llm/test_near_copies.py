@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from verishelf.llm.simhash import drop_near_copies, hub_pairs, prefix_of, shingle_set, similar_classes
+from verishelf.llm.simhash import drop_near_copies, hub_pairs, prefix_of, shingle_set, near_copy_classes
 
 
 def _shingles(text):
@@ -56,7 +56,7 @@ def test_links_are_those_of_all_pairs(spark):
     assert sum(0.6 <= p < 0.8 for p in pairs) > 100 and sum(0.8 <= p < 0.9 for p in pairs) > 100
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for sample in (20_000, 40, 1):
-        got = {r["doc_id"]: r["component_id"] for r in similar_classes(df, sample=sample).collect()}
+        got = {r["doc_id"]: r["component_id"] for r in near_copy_classes(df, sample=sample).collect()}
         assert [got[i] for i in range(len(texts))] == want
     assert sorted(r["doc_id"] for r in drop_near_copies(df).collect()) == sorted(set(want))
 

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from verishelf.llm._common import components
-from verishelf.llm.simhash import SIMILAR, THREE_BITS, Links, build_top, drop_near_copies, link_codes, link_shard, route, simhash_classes
+from verishelf.llm.simhash import FAMILIES, THREE_BITS, Links, build_top, drop_near_copies, link_codes, link_rows, link_shard, route, simhash_classes
 
 
 def _fingerprint(text):
@@ -59,9 +59,14 @@ def test_shards_lose_no_link(spark):
     codes = np.unique(np.concatenate([codes, codes ^ np.array(flips), codes[:5].repeat(40) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))]))
     roots = _roots(len(codes), lambda a, b: int(codes[a] ^ codes[b]).bit_count() <= 3)
     df = spark.createDataFrame([(i, bytes(np.array([c], dtype=">u8").tobytes())) for i, c in enumerate(codes)], "node long, code binary")
-    for rows in (10**6, 60):
+    for rows in (10**6, 60, 2):
         got = {r["node"]: r["root"] for r in link_codes(df, THREE_BITS, shard_rows=rows).collect()}
         assert [got.get(i, i) for i in range(len(codes))] == roots
+    key = np.sort(rng.integers(0, 4, len(codes)))
+    meet = _roots(len(codes), lambda a, b: key[a] == key[b] and int(codes[a] ^ codes[b]).bit_count() <= 3)
+    for leaf in (4, 1000):
+        none = np.zeros((len(codes), 0), dtype=np.uint64)
+        assert link_rows(key, np.ones(len(codes), dtype=bool), codes, none, 3, 0, leaf).tolist() == meet
     links = Links(len(codes))
     for lo, bits in ((0, 32), (32, 32)):
         band = (codes >> np.uint64(lo)) & np.uint64(2**bits - 1)
@@ -90,7 +95,25 @@ def test_near_copies_go(spark):
     got = [r["doc_id"] for r in drop_near_copies(df).collect()]
     assert sorted(got) == sorted(want | {7000})
     assert drop_near_copies(df.limit(0)).count() == 0
-    assert simhash_classes(df, SIMILAR).count() == len(rows)
+
+
+def test_equal_rows_and_ties_leave_one(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(3, text, "b"), (3, text, "a"), (3, text + " w30", "c"), (9, text, "d"), (None, text, "e"), (None, "other", "f"), (None, "other", "f")]
+    for turn in (rows, rows[::-1]):
+        df = spark.createDataFrame(turn, "doc_id long, text string, node string")
+        first = sorted(map(tuple, drop_near_copies(df.repartition(3)).collect()), key=str) if turn is rows else first
+        assert sorted(map(tuple, drop_near_copies(df).collect()), key=str) == first
+    assert len(first) == 2 and {r[0] for r in first} == {3, None}
+
+
+def test_a_loose_scheme_stars_what_a_shard_does_not_take(spark):
+    df = spark.createDataFrame([(i, f"{' '.join(f'w{(i // 40) * 1000 + k}' for k in range(20))} e{i}") for i in range(120)], "node long, text string")
+    codes = df.select("node", "text").toPandas()
+    codes = spark.createDataFrame([(int(n), np.array(FAMILIES.code(t.encode().split()), dtype=">u8").tobytes()) for n, t in zip(codes["node"], codes["text"])], "node long, code binary")
+    for rows in (10**6, 30):
+        got = {r["node"]: r["root"] for r in link_codes(codes, FAMILIES, shard_rows=rows).collect()}
+        assert all(got[i] == got[i // 40 * 40] for i in range(120))
 
 
 def test_components(spark):

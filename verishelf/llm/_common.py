@@ -48,6 +48,39 @@ def raw_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def numbering(df: DataFrame, *by: str) -> int:
+    """A seed for which xxhash64(seed, *by) differs between all rows of df; they must differ in `by`."""
+    for seed in range(64):
+        if df.select(F.xxhash64(F.lit(seed), *by).alias("h")).groupBy("h").count().where("count > 1").isEmpty():
+            return seed
+    raise RuntimeError("rows are repeated")
+
+
+def drawn(df: DataFrame, most: int, *by: str, n: int | None = None) -> DataFrame:
+    """A sample of about `most` rows: those of a small hash of `by`, which should differ between rows.
+
+    The hash is compared with a bound that follows from the number n of rows, so no task sends more
+    than its share; the same rows are drawn in every run.
+    """
+    n = df.count() if n is None else n
+    return df if n <= most else df.where(F.pmod(F.xxhash64(F.lit(97), *by), F.lit(1 << 40)) < int((1 << 40) * most / n))
+
+
+def lookup(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with facts by key. facts: one row a key, key not null, and `count`: how many rows have it.
+
+    A key with over a two-thousandth of all rows is hot. There are at most two thousand such keys; their
+    facts are broadcast, and their rows never meet in a task.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = facts.where(F.col(count) > total // 2000)
+    if total < 2000 or hot.isEmpty():
+        return rows.join(facts, key)
+    hot = cut(hot)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col(count) <= total // 2000), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 

@@ -1,13 +1,14 @@
-"""SimHash near-duplicates: vantage-point trees over bands of a fingerprint, sharded in Spark.
+"""SimHash near-duplicates: fingerprints dealt out by equal pieces, vantage-point trees in the shards.
 
-A fingerprint is cut into bands. Two fingerprints that differ in few bits agree, but for
-`radius` bits, in some band; Hamming distance on a band is a pseudo-metric, so a tree of
-vantage points prunes by the triangle inequality there. The top of each band's tree is built on
-the driver from a bounded sample and deals fingerprints to shards: each to the shard that holds
-it, and as a visitor to those shards whose boundary is within the radius. A shard goes on with
-trees of its own down to small leaves and verifies each pair on the whole fingerprint.
+Two fingerprints that differ in few bits agree in some piece of theirs, so those that share a
+piece's value meet in a shard, and each fingerprint is dealt out once for each piece, however
+many there are. In a shard a tree of vantage points partitions the fingerprints by Hamming
+distance, leaves out branches by the triangle inequality, and lets a branch see those beyond its
+boundary that are within the radius. A piece's value that very many fingerprints share is split
+into shards by the top of such a tree; fingerprints near a boundary visit the shards beyond it.
 
-Near copies of the pipeline are found without fingerprints: see similar_classes.
+Near copies of the pipeline: fingerprints find loose families this way, and the exact similarity
+of shingle sets is then counted within them, see similar_classes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verishelf.llm._common import components, cut, raw_bytes, slices
+from verishelf.llm._common import components, cut, lookup, raw_bytes, slices
 
 _U8, _U64 = np.uint8, np.uint64
 _BITS = np.unpackbits(np.arange(256, dtype=_U8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -64,51 +65,59 @@ def _mixed(h: np.ndarray, j: int) -> np.ndarray:
     return h ^ (h >> _U64(32))
 
 
+@dataclass(frozen=True)
+class Table:
+    """Codes meet by the equal `bits` bits of `word` at `shift`; the tree runs over `band_bits` bits of it at `band`."""
+
+    word: int
+    shift: int
+    bits: int
+    band: int
+    band_bits: int
+
+
 @dataclass(frozen=True)
 class Scheme:
-    """What is linked: `code` gives a text's words of 64 bits; `bands` are (word, shift, bits).
+    """What is linked: `code` gives a text's words of 64 bits; `tables` say which codes meet.
 
-    Links: codes that agree in a band but for `radius` bits, and in the words from `verify` on
-    but for `limit` bits.
+    Links: codes that meet in a table and agree in its band but for `radius` bits, and in the
+    words from `verify` on but for `limit` bits. A loose scheme only finds candidates: where more
+    codes meet than a shard takes, it links them all.
     """
 
     n_words: int
-    code: Callable[[bytes], list[int]]
-    bands: tuple[tuple[int, int, int], ...]
+    code: Callable[[list[bytes]], list[int]]
+    tables: tuple[Table, ...]
     radius: int
     verify: int
     limit: int
+    loose: bool = False
 
 
-def _code3(text: bytes) -> list[int]:
-    return [majority(shingle_hashes(text.lower().split(), 3))]
+def _code3(words: list[bytes]) -> list[int]:
+    return [majority(shingle_hashes(words, 3))]
 
 
-#: 3-word shingles; 64 bits of which 3 may differ, so one half differs in one bit at most.
-THREE_BITS = Scheme(1, _code3, ((0, 0, 32), (0, 32, 32)), 1, 0, 3)
+#: 3-word shingles; 64 bits of which 3 may differ, so that one of four quarters is equal.
+THREE_BITS = Scheme(1, _code3, tuple(Table(0, k, 16, 0, 64) for k in (0, 16, 32, 48)), 3, 1, 0)
 
 
-def _code5(text: bytes) -> list[int]:
-    words = text.lower().split()
+def _family_code(words: list[bytes]) -> list[int]:
     pairs, fives = np.unique(shingle_hashes(words, 2)), np.unique(shingle_hashes(words, 5))
-    return [majority(_mixed(pairs, j)) for j in range(4)] + [majority(_mixed(fives, j)) for j in range(8)]
+    return [majority(_mixed(pairs, j)) for j in range(8)] + [majority(_mixed(fives, j)) for j in range(2)]
 
 
-#: An estimate of similarity 0.8 on sets of 5-word shingles; similar_classes is exact. A pair of Jaccard similarity J has the cosine
-#: 2J / (1 + J), and each of its bits differs with probability arccos(cosine) / pi: 0.151 at 0.8.
-#: 512 bits estimate it within 0.016; the limit lies one deviation above. Candidates come from
-#: 2-word shingles, which edits disturb less: 0.1 at 0.8, so that each of ten bands of 24 bits
-#: agrees but for one bit in 3 of 10 cases, and one of them at least in 97 of 100.
-SIMILAR = Scheme(12, _code5, tuple((b * 24 // 64, b * 24 % 64, 24) for b in range(10)), 1, 4, round(512 * 0.167))
+#: Candidates for a similarity of 0.8 on sets of five-word shingles. A pair of Jaccard similarity J has
+#: the cosine 2J / (1 + J), and each of its bits differs with probability arccos(cosine) / pi: 0.151
+#: at 0.8. 24 bands of 21 bits of two-word shingles: a band agrees but for one bit in 15 of 100
+#: cases if an edit is one block, one of 24 in 98 of 100, and in 40 of 100 and nearly always if edits
+#: are scattered words, which disturb two-word shingles less (0.093). A half of such a band is equal. 128 bits of
+#: five-word shingles then sort out chance: 19 differ on average at 0.8, more in very short texts, 64 by chance.
+FAMILIES = Scheme(10, _family_code, tuple(Table(w, 21 * k + h, 10 + (h > 0), 21 * k, 21) for w in range(8) for k in range(3) for h in (0, 10)), 1, 8, 38, loose=True)
 
 
-def _band(words: np.ndarray, band: tuple[int, int, int]) -> np.ndarray:
-    """The band's bits of each code; a band may run over into the next word."""
-    word, shift, bits = band
-    x = words[:, word] >> _U64(shift)
-    if shift + bits > 64:
-        x = x | (words[:, word + 1] << _U64(64 - shift))
-    return x & _U64((1 << bits) - 1)
+def _part(words: np.ndarray, word: int, shift: int, bits: int) -> np.ndarray:
+    return words[:, word] >> _U64(shift) & _U64((1 << bits) - 1)
 
 
 # ---- trees ----------------------------------------------------------------------------------
@@ -229,7 +238,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [np.array(scheme.code(t or b""), dtype=">u8").tobytes() for t in raw_bytes(batch.column("_simhash_text"))]
+            codes = [np.array(scheme.code((t or b"").lower().split()), dtype=">u8").tobytes() for t in raw_bytes(batch.column("_simhash_text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(codes, pa.binary())], names=[*keep, "code"])
 
     return ready.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "code binary"]))
@@ -239,67 +248,131 @@ def _words(column: pa.Array, n_words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").astype(_U64).reshape(-1, n_words)
 
 
-def link_codes(codes: DataFrame, scheme: Scheme, *, shard_rows: int = 20_000, sample: int = 4096) -> DataFrame:
+def link_rows(key: np.ndarray, home: np.ndarray, band: np.ndarray, verify: np.ndarray, radius: int, limit: int, leaf: int = 64) -> np.ndarray:
+    """A label for each row: rows of one key that the scheme links get one, the smallest row's number.
+
+    Rows come sorted by key. Keys with up to `leaf` rows are leaves, and compared together; the
+    others go down a tree each. Rows that are not at home in their key are not compared with one another.
+    """
+    links = Links(len(key))
+    first, many = _runs(key)
+    rank = np.arange(len(key)) - first
+    a_, b_, held = [], [], 0
+    at = np.flatnonzero((many > 1) & (many <= leaf))
+    for k in range(1, leaf):
+        at = at[rank[at] + k < many[at]]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(band[at] ^ band[at + k]) <= radius]
+        near = near[(home[near] | home[near + k]) & (np.bitwise_count(verify[near] ^ verify[near + k]).sum(axis=1, dtype=np.int64) <= limit)]
+        a_.append(near)
+        b_.append(near + k)
+        held += len(near)
+    if held:
+        links.join(np.concatenate(a_), np.concatenate(b_))
+    for lo in np.unique(first[many > leaf]).tolist():
+        rows = np.arange(lo, lo + many[lo])
+        link_shard(verify, rows[home[rows]], rows[~home[rows]], band, radius, 0, limit, links)
+    return links.label
+
+
+def link_codes(codes: DataFrame, scheme: Scheme, *, shard_rows: int = 20_000, sample: int = 1 << 18) -> DataFrame:
     """Components of codes. codes: node (long, unique), code (binary, distinct). Returns (node, root).
 
     Only nodes with a link are returned. Groups of equal codes must have been folded before:
-    they are one node here. The trees' tops are built from `sample` codes, or eight for each of at
-    most 2^14 leaves, so the driver holds a bounded number. Shards deal with whole leaves; each returns a spanning forest (node,
-    smallest position's node), as many rows at most as it has nodes, and no list of pairs.
+    they are one node here. Each code is dealt out once for each table, by the value of the table's piece. Values are
+    counted first: those with over shard_rows codes, and over four times the mean, are at most a quarter of
+    all values. Their codes are dealt on to shards by the top of a tree of their own (built from at
+    most about `sample` codes for all trees), and to those beyond a boundary as visitors; a loose
+    scheme links them to their smallest node instead, with no shuffle. Shards return spanning forests
+    (node, smallest node), as many rows at most as they have codes, and no list of pairs.
     """
+    tables, radius, n_words, verify, limit = scheme.tables, scheme.radius, scheme.n_words, scheme.verify, scheme.limit
+    keys = sum(1 << t.bits for t in tables)
+    names = ["key", "home", "node", "band", *(f"v{k}" for k in range(n_words - verify))]
+    schema = ", ".join(f"{c} {'boolean' if c == 'home' else 'long'}" for c in names)
+    context = codes.sparkSession.sparkContext
+
+    def dealt(tops: dict[int, list[tuple[int, int]]], lows: dict[int, int], wide: bool = True) -> DataFrame:
+        held = context.broadcast((tops, lows))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trees, stars = held.value
+            special = np.array(sorted({*trees, *stars}), dtype=np.int64)
+            for batch in slices(batches, 5000):
+                node, words = batch.column("node").to_numpy(), _words(batch.column("code"), n_words)
+
+                def rows(key: np.ndarray, home: np.ndarray, at: np.ndarray, band: np.ndarray, node: np.ndarray = node, words: np.ndarray = words) -> pa.RecordBatch:
+                    columns = [key, home, node[at], band[at].view(np.int64), *(words[at, k].view(np.int64) for k in range(verify, n_words))]
+                    return pa.RecordBatch.from_arrays([pa.array(c) for c in (columns if wide else columns[:3])], names=names if wide else names[:3])
+
+                for k, t in enumerate(tables):
+                    key = k << 16 | _part(words, t.word, t.shift, t.bits).astype(np.int64)
+                    band = _part(words, t.word, t.band, t.band_bits) if t.band_bits < 64 else np.ascontiguousarray(words[:, t.word])
+                    hot = np.isin(key, special)
+                    cold = np.flatnonzero(~hot)
+                    yield rows(key[cold], np.ones(len(cold), dtype=bool), cold, band)
+                    for value in np.unique(key[hot]).tolist():
+                        at = np.flatnonzero(key == value)
+                        if value in stars:  # an edge: from the band's place to the node's
+                            low = np.full(len(node), stars[value], dtype=np.int64).view(_U64)
+                            yield rows(np.full(len(at), -1), np.ones(len(at), dtype=bool), at, low)
+                        else:
+                            for shard, there, home in route(trees[value], band[at], radius):
+                                yield rows(np.full(len(there), value | shard + 1 << 32), home, at[there], band)
+
+        return codes.select("node", "code").mapInArrow(deal, schema if wide else "key long, home boolean, node long")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, home, node, band, *v in _by_token(batches, names):
+            if len(key):
+                code = np.stack(v, axis=1).view(_U64) if v else np.zeros((len(key), 0), dtype=_U64)
+                label = link_rows(key, home, band.view(_U64), code, radius, limit)
+                at = np.flatnonzero(label != np.arange(len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], names=["a", "b"])
+
     n = codes.count()
-    depth = min(14, max(0, math.ceil(math.log2(max(1, n / shard_rows)))))
-    tops: list[list[tuple[int, int]]] = [[] for _ in scheme.bands]
-    if depth:
-        picked = codes.select("code").orderBy(F.xxhash64("code")).limit(max(sample, 8 << depth)).toArrow().column("code").combine_chunks()
-        tops = [build_top(_band(_words(picked, scheme.n_words), b), depth) for b in scheme.bands]
-    radius, bands, n_words, verify, limit, leaves = scheme.radius, scheme.bands, scheme.n_words, scheme.verify, scheme.limit, 2**depth
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, code = batch.column("node"), batch.column("code")
-            words = _words(code, n_words)
-            for k, band in enumerate(bands):
-                for shard, at, home in route(tops[k], _band(words, band), radius):
-                    take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k * leaves + shard, dtype=np.int32)), pa.array(home), node.take(take), code.take(take)], names=["shard", "home", "node", "code"])
-
-    def link(table: pa.Table) -> pa.Table:
-        k = table.column("shard")[0].as_py() // leaves
-        node, home = table.column("node").to_numpy(), table.column("home").to_numpy()
-        words = _words(table.column("code").combine_chunks(), n_words)
-        order = np.argsort(node)
-        node, home, words = node[order], home[order], words[order]
-        links = Links(len(node))
-        link_shard(words, np.flatnonzero(home), np.flatnonzero(~home), _band(words, bands[k]), radius, verify, limit, links)
-        at = np.flatnonzero(links.label != np.arange(len(node)))
-        return pa.table({"a": node[at], "b": node[links.label[at]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    dealt = codes.select("node", "code").mapInArrow(deal, "shard int, home boolean, node long, code binary")
-    return components(dealt.groupBy("shard").applyInArrow(link, "a long, b long"))
+    most = max(shard_rows, 4 * n * len(tables) // keys)
+    hot = dealt({}, {}, False).groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where(F.col("n") > most).collect() if n > most else []
+    tops: dict[int, list[tuple[int, int]]] = {}
+    lows = {r["key"]: r["low"] for r in hot} if scheme.loose else {}
+    if hot and not scheme.loose:
+        each = max(16, sample // len(hot))
+        sizes = {r["key"]: r["n"] for r in hot}
+        some = codes.sparkSession.createDataFrame([(k, max(1, m // each)) for k, m in sizes.items()], "key long, every long")
+        drawn = dealt({}, {}).join(F.broadcast(some), "key").where(F.pmod(F.xxhash64("node"), F.col("every")) == 0).select("key", "band").toArrow()
+        key, band = drawn.column("key").to_numpy(), drawn.column("band").to_numpy().view(_U64)
+        tops = {k: build_top(band[key == k], math.ceil(math.log2(m / most)) + 1) for k, m in sizes.items()}
+    rows = dealt(tops, lows)
+    shards = rows.where("key >= 0") if lows else rows
+    edges = shards.repartition("key").sortWithinPartitions("key", "node").mapInArrow(link, "a long, b long")
+    if lows:
+        edges = edges.unionAll(rows.where("key < 0").select(F.col("node").alias("a"), F.col("band").alias("b")))
+    return components(edges)
 
 
 def simhash_classes(docs: DataFrame, scheme: Scheme = THREE_BITS, *, id_col: str = "doc_id") -> DataFrame:
-    """One row per row of docs: id_col, t1, t2 (hashes of the text), code, root, component_id.
+    """One row per row of docs: id_col, code, component_id.
 
-    Texts whose codes the scheme links, directly or over others, share a root; component_id is
-    the smallest id_col among them, nulls left out. Equal codes are folded before any pair is
+    Texts whose codes (of one word) the scheme links, directly or over others, share a component;
+    component_id is the smallest id_col among them, nulls left out. Equal codes are folded before any pair is
     looked at, so a group of copies costs one code. Null and empty texts all have the code zero
     and are linked like any other. Repeated rows share everything. An empty table gives none.
     """
-    ids = docs.select(F.col(id_col), "text").select(F.col(id_col).alias(id_col), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    prints = cut(fingerprints(ids, scheme, [id_col, "t1", "t2"]))
-    classes = cut(prints.groupBy("code").agg(F.min(id_col).alias("low")).withColumn("node", F.xxhash64("code") if scheme.n_words > 1 else F.conv(F.hex("code"), 16, -10).cast("long")))
-    roots = link_codes(classes, scheme)
-    labelled = classes.join(roots, "node", "left").select("code", "low", F.coalesce("root", "node").alias("root"))
-    lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(labelled.select("code", "root").join(lows, "root"), "code")
+    prints = cut(fingerprints(docs.select(F.col(id_col), "text"), scheme, [id_col]))
+    classes = prints.groupBy("code").agg(F.min(id_col).alias("low"), F.count("*").alias("m"))
+    classes = cut(classes.withColumn("node", F.conv(F.hex("code"), 16, -10).cast("long")))
+    labelled = classes.join(link_codes(classes, scheme), "node", "left").select("code", "low", "m", F.coalesce("root", "node").alias("root"))
+    lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("k"))
+    found = cut(lookup(labelled, lows, "root", "k").select("code", "m", "component_id"))
+    return lookup(prints, found, "code", "m").select(id_col, "code", "component_id")
 
 
 # ---- exact similarity -----------------------------------------------------------------------
 
 #: Of each shared shingle's texts, those from the first to the second number are compared with
-#: all after them in one round; a round leaves out pairs that the rounds before have connected.
+#: all after them in one round; a round leaves out pairs that the rounds before have connected. Texts
+#: with the fewest rarer shingles come first: the least changed of a group of variants, to which most are close.
 HUBS = ((0, 2), (2, 16), (16, 1 << 62))
 
 
@@ -308,18 +381,25 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text.lower().split(), 5))
 
 
-def _common_shingles(docs: DataFrame, texts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about `texts` different texts have, sorted, and their counts."""
-    every = max(1, docs.count() // texts)
-    picked = docs.select("text").where(F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(every)) == 0).dropDuplicates(["text"])
+def _common_shingles(sets: DataFrame, texts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about `texts` different sets have, sorted, and their counts."""
+    every = max(1, sets.count() // texts)
+    picked = sets.where(F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(every)) == 0).select("hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_set(t or b"") for t in raw_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=_U64), *sets]).view(np.int64))], names=["token"])
-
-    counts = picked.mapInArrow(run, "token long").groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(most).toArrow()
-    token, count = counts.column("token").to_numpy().view(_U64), counts.column("count").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), dtype=np.int64))], names=["token"])
+
+    counts = picked.mapInArrow(run, "token long").groupBy("token").count().where("count > 1")
+    least = 1  # a count that at most `most` shingles exceed, from how many there are of each count
+    above = 0
+    for r in counts.groupBy(F.least("count", F.lit(1000)).alias("c")).agg(F.count("*").alias("k")).orderBy(F.desc("c")).collect():
+        above += r["k"]
+        if above > most:
+            least = r["c"]
+            break
+    got = counts.where(F.col("count") > least).toArrow()
+    token, count = got.column("token").to_numpy().view(_U64), got.column("count").to_numpy()
     order = np.argsort(token)
     return token[order], count[order]
 
@@ -348,7 +428,7 @@ def _by_token(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[l
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(c).to_numpy() for c in names]
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
         if now[0][-1] != now[0][0] or (held and held[-1][0][-1] != now[0][0]):
             first = int(np.searchsorted(now[0], now[0][-1]))
             yield [np.concatenate([*(h[i] for h in held), c[:first]]) for i, c in enumerate(now)]
@@ -397,39 +477,53 @@ def _can_pair(token: np.ndarray, node: np.ndarray, size: np.ndarray, pos: np.nda
     return at
 
 
-def similar_classes(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "doc_id", sample: int = 20_000, most_common: int = 1 << 18) -> DataFrame:
-    """One row per row of docs: id_col, t1, t2 (hashes of the text), node, root, component_id.
+def similar_classes(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str = "doc_id", sample: int = 20_000, most_common: int = 1 << 18, scheme: Scheme = FAMILIES) -> DataFrame:
+    """One row per different set of shingles: node, first (id, t1, t2), m, root, component_id.
 
-    Texts are linked if the Jaccard similarity of their sets of five-word shingles is num / den or
-    more, by exact count; linked texts, directly or over others, share a root, and component_id is
-    the smallest id_col among them, nulls left out. No similar pair is missed: shingles have one
-    order, and similar sets share one of their first. A sample makes that order go from rare to
-    common, so that a template's shingles come last; it decides on work alone. Equal sets are
-    folded first. Texts without words have the empty set, and are copies of each other.
+    Texts are near copies if the Jaccard similarity of their sets of five-word shingles is num / den or
+    more. Equal sets are folded first: m rows of docs have this one, `first` is the smallest of their
+    (null, id_col, two hashes of the text). Texts without words have the empty set, and are copies of
+    each other. Fingerprints find families of sets that may be similar (see FAMILIES); within these
+    every link is by exact count, and none is lost: shingles have one order, and similar sets share
+    one of their first. A sample makes that order go from rare to common, so that a template's
+    shingles come last; it decides on work alone. Sets linked directly or over others share a root,
+    and component_id is the smallest id_col among them, nulls left out.
     """
     ids = docs.select(F.col(id_col), "text").select(F.col(id_col).alias(id_col), "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     kind = dict(ids.dtypes)[id_col]
-    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, sample, most_common))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            node, size, prefix = [], [], []
+            node, code = [], []
             for t in raw_bytes(batch.column("text")):
-                hashes = shingle_set(t or b"")
-                node.append(xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63)
-                size.append(len(hashes))
-                prefix.append(prefix_of(hashes, common.value, num, den).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("t1"), batch.column("t2"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary())], names=[id_col, "t1", "t2", "node", "size", "prefix"])
+                words = (t or b"").lower().split()
+                node.append(xxhash.xxh64_intdigest(np.unique(shingle_hashes(words, 5)).tobytes()) - 2**63)
+                code.append(np.array(scheme.code(words), dtype=">u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("t1"), batch.column("t2"), pa.array(node, pa.int64()), pa.array(code, pa.binary())], names=[id_col, "t1", "t2", "node", "code"])
+
+    prints = ids.mapInArrow(prints_of, f"`{id_col}` {kind}, t1 long, t2 long, node long, code binary")
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "t1", "t2")
+    classes = cut(prints.groupBy("node").agg(F.min(own).alias("first"), F.count("*").alias("m"), F.first("code").alias("code")))
+    families = link_codes(classes, scheme)
+    some = classes.join(families.select("node"), "node", "left_semi").select("node", F.col("first.id").alias("_id"), F.col("first.t1").alias("t1"), F.col("first.t2").alias("t2"))
+    some = some.withColumnsRenamed({"t1": "_1", "t2": "_2"})
+    wanted = ids.join(some, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2"))).select("node", "text")
 
-    prints = cut(ids.mapInArrow(prefixes, f"`{id_col}` {kind}, t1 long, t2 long, node long, size long, prefix binary"))
-    classes = prints.groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("text_key"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t or b"").tobytes() for t in raw_bytes(batch.column("text"))], pa.binary())], names=["node", "hashes"])
+
+    sets = cut(wanted.mapInArrow(sets_of, "node long, hashes binary").dropDuplicates(["node"]))
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(sets, sample, most_common))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            tokens = [np.frombuffer(p, dtype=np.int64) for p in batch.column("prefix").to_pylist()]
+            hashes = [np.frombuffer(h, dtype=_U64) for h in batch.column("hashes").to_pylist()]
+            tokens = [prefix_of(h, common.value, num, den).view(np.int64) for h in hashes]
             many = np.array([len(t) for t in tokens], dtype=np.int64)
+            size = np.array([len(h) for h in hashes], dtype=np.int64)
             pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *tokens])), *(pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("node", "size")), pa.array(pos)], names=["token", "node", "size", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *tokens])), *(pa.array(np.repeat(c, many)) for c in (batch.column("node").to_numpy(), size)), pa.array(pos)], names=["token", "node", "size", "pos"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["token", "node", "size", "pos"]
@@ -438,16 +532,8 @@ def similar_classes(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str
                 at = _can_pair(*columns, num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in columns], names=names)
 
-    dealt = classes.select("node", "size", "prefix").mapInArrow(postings, "token long, node long, size long, pos long")
+    dealt = sets.mapInArrow(postings, "token long, node long, size long, pos long")
     shared = cut(dealt.repartition("token").sortWithinPartitions("token", "node").mapInArrow(several, "token long, node long, size long, pos long"))
-    keys = prints.select("node", "t1", "t2").join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("k")).select("node", "k.t1", "k.t2")
-    wanted = ids.select("text", "t1", "t2").join(keys, ["t1", "t2"]).select("node", "text").dropDuplicates(["node"])
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t or b"").tobytes() for t in raw_bytes(batch.column("text"))], pa.binary())], names=["node", "hashes"])
-
-    sets = cut(wanted.mapInArrow(sets_of, "node long, hashes binary"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -464,34 +550,48 @@ def similar_classes(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str
         def emit(batches: Iterator[pa.RecordBatch], hubs: tuple[int, int] = hubs) -> Iterator[pa.RecordBatch]:
             for columns in _by_token(batches, ["token", "node", "size", "pos", "label"]):
                 for a, b in hub_pairs(*columns, hubs, num, den) if len(columns[0]) else ():
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         labelled = shared.join(roots, "node", "left").select("token", "node", "size", "pos", F.coalesce("root", "node").alias("label"))
-        pairs = labelled.repartition("token").sortWithinPartitions("token", "node").mapInArrow(emit, "a long, b long").distinct()
+        pairs = labelled.repartition("token").sortWithinPartitions("token", "pos", "node").mapInArrow(emit, "a long, b long").distinct()
         x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
         found = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
         if not found.isEmpty():
             edges = found if edges is None else edges.unionAll(found)
             roots = components(edges)
-    labels = prints.groupBy("node").agg(F.min(id_col).alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    labels = cut(labels)
-    lows = labels.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.select(id_col, "t1", "t2", "node").join(labels.select("node", "root").join(lows, "root"), "node")
+    labels = cut(classes.select("node", "first", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    lows = labels.groupBy("root").agg(F.min("first.id").alias("component_id"), F.count("*").alias("k"))
+    return lookup(labels, lows, "root", "k").select("node", "first", "m", "root", "component_id")
+
+
+def near_copy_classes(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """id_col and component_id of every row of docs; options: see similar_classes."""
+    classes = similar_classes(docs, id_col=id_col, **options).select("node", "m", "component_id")
+    kind = dict(docs.dtypes)[id_col]
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh64_intdigest(shingle_set(t or b"").tobytes()) - 2**63 for t in raw_bytes(batch.column("text"))], pa.int64())], names=[id_col, "node"])
+
+    rows = docs.select(F.col(id_col), "text").mapInArrow(nodes, f"`{id_col}` {kind}, node long")
+    return lookup(rows, cut(classes), "node", "m").select(id_col, "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies: that with the smallest doc_id.
 
     Near copies: five-word shingles of an exact Jaccard similarity of 0.8 or more, and chains
-    of such pairs. Columns stay. Null doc_ids come last in a group; of rows that share a group's smallest
-    doc_id, one stays. Texts without words are copies of each other.
+    of such pairs. Columns stay. Null doc_ids come last in a group; of different texts with the
+    smallest doc_id, that of the smaller hash stays, and of repeated rows that with the smaller hash of
+    all columns. Texts without words are copies of each other. An empty table gives none.
     """
-    labelled = similar_classes(docs)
-    texts = cut(labelled.groupBy(F.col("t1").alias("_sh_1"), F.col("t2").alias("_sh_2")).agg(F.first("root").alias("_sh_root"), F.first("component_id").alias("_sh_low")))
-    own = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").count().agg(F.max("count")).first()[0] or 0
+    best = similar_classes(docs).groupBy("root").agg(F.min("first").alias("w"))
+    winners = cut(best.select(F.col("root").alias("_sh_root"), F.col("w.id").alias("_sh_id"), F.col("w.t1").alias("_sh_1"), F.col("w.t2").alias("_sh_2")))
     names = docs.columns
-    joined = docs.join(texts, (F.xxhash64("text") == F.col("_sh_1")) & (F.xxhash64(F.lit(1), "text") == F.col("_sh_2")))
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("_sh_low")))
-    if own > 1:
-        kept = kept.dropDuplicates(["_sh_root"])
-    return kept.select(*names)
+    on = F.col("doc_id").eqNullSafe(F.col("_sh_id")) & (F.xxhash64("text") == F.col("_sh_1")) & (F.xxhash64(F.lit(1), "text") == F.col("_sh_2"))
+    kept = docs.join(winners, on)
+    if docs.select("doc_id", "text").join(winners, on).groupBy("_sh_root").count().where("count > 1").isEmpty():
+        return kept.select(*names)
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    row = F.struct(*(F.col(f"`{c}`") for c in names))
+    return kept.groupBy("_sh_root").agg(F.min_by(row, F.struct(F.xxhash64(*plain), F.xxhash64(F.lit(1), *plain))).alias("row")).select("row.*")

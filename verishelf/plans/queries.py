@@ -228,7 +228,7 @@ _BODY = "left(trim(regexp_replace(" + _ENTITY.format(r"regexp_replace(regexp_rep
 
 @query(f"SELECT page_id, nullif({_TITLE}, '') AS title FROM pages")
 def page_title(spark, d):
-    return table(spark, d, "pages").select("page_id", P.page_title(F.col("html"), P.open_graph(F.col("html"))).alias("title"))
+    return table(spark, d, "pages").select("page_id", P.page_title(F.col("html")).alias("title"))
 
 
 @query(f"SELECT page_id, {_BODY} AS body FROM pages")

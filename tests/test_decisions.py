@@ -187,15 +187,41 @@ def test_adapters(spark):
     def get(url):
         if "bad" in url:
             raise OSError
-        return (404, "") if url.endswith("2") else (200, "<p>")
+        return adapters.Answer(404) if url.endswith("2") else adapters.Answer(200, body=[b"<p>", "é".encode()])
 
-    got = {r["url"]: r["status"] for r in adapters.fetch(urls, get, sleep=lambda s: None).collect()}
-    assert got == {"https://a.test/1": "ok", "https://a.test/2": "http_error", "http://10.0.0.1/": "blocked", "https://b.test/bad": "timeout"}
+    got = {r["url"]: (r["status"], r["html"]) for r in adapters.fetch(urls, get, sleep=lambda s: None).collect()}
+    assert got == {"https://a.test/1": ("ok", "<p>é"), "https://a.test/2": ("http_error", ""), "http://10.0.0.1/": ("blocked", None), "https://b.test/bad": ("timeout", None)}
     payload = json.dumps({"results": [{"url": "https://a.test/1", "title": "t", "engine": "x"}, {"url": "u", "title": "t", "engine": "y"}]})
     df = spark.createDataFrame([("q", payload, ["x"])], "text string, payload string, engines array<string>")
     assert [r["rank"] for r in adapters.search_results(df).collect()] == [1, 2] and adapters.stray_engines(df).first()["stray"] == ["y"]
 
 
+def test_every_hop_is_guarded():
+    pages = {
+        "https://a.test/in": adapters.Answer(302, "http://169.254.169.254/latest"), "https://a.test/name": adapters.Answer(301, "//inner.test/x"), "https://a.test/far": adapters.Answer(307, "/near"),
+        "https://a.test/near": adapters.Answer(200, body=[b"x" * 10]), "https://a.test/loop": adapters.Answer(302, "/loop"), "https://a.test/file": adapters.Answer(302, "file:///etc/passwd"),
+        "https://a.test/private": adapters.Answer(200),
+    }
+    names = {"a.test": ["8.8.8.8", "2606:4700::1111"], "inner.test": ["8.8.8.8", "10.0.0.1"]}
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        return pages[url]
+
+    def resolve(name):
+        if name not in names:
+            raise OSError
+        return names[name]
+
+    go = lambda url, **o: adapters.get_guarded(url, get, resolve=resolve, robots=lambda u: "private" not in u, **o)
+    assert go("https://a.test/in") == ("blocked", None, None, "http://169.254.169.254/latest")
+    assert go("https://a.test/name")[0] == "blocked" and go("https://a.test/file")[0] == "blocked" and go("https://gone.test/")[0] == "blocked"
+    assert go("https://a.test/far") == ("ok", 200, "x" * 10, "https://a.test/near") and go("https://a.test/loop", hops=3)[0] == "redirects"
+    assert go("https://a.test/near", most_bytes=9)[0] == "too_large" and go("https://a.test/private")[0] == "robots"
+    assert not any(u.startswith(("http://169", "file", "https://inner")) for u in asked) and "https://a.test/private" not in asked
+
+
 def test_streams(spark, tmp_path):
     rows = [{"row_uid": "s:0", "desc_raw": "acme gel 75ml", "brand": "ACME", "brand_owner": None, "retailer_raw": "R", "retailer": "R", "barcode": "12345678"}]
     (tmp_path / "in").mkdir()

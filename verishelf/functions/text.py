@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verishelf.functions import vocab
 
+# The patterns of sizes (SIZE) and tokens (TOKEN), and the seven of pack_count, decide what a description means.
 UNITS = "|".join(sorted({**vocab.VOLUME, **vocab.MASS}, key=lambda u: (-len(u), u)))
 #: A size: a number and a unit, not within a word or number.
 SIZE = rf"(?iU)(?<![\w.])(\d+(?:[.,]\d+)?)\s*({UNITS})(?![a-zA-Z])"
@@ -19,6 +20,11 @@ def words(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it. No Python UDF may be in body."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Trims any Unicode white space."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -138,9 +144,8 @@ def repair_encoding(c: Column) -> Column:
 # ---- descriptions ---------------------------------------------------------------------------
 
 
-def keep_words(desc: Column, retailer_words: Column) -> Column:
+def keep_words(parts: Column, retailer_words: Column) -> Column:
     """How many leading words stay when trailing ones that name the retailer, or nothing, go."""
-    parts = F.split(desc, r"(?U)\s+")
     junk = lambda w: (alnum(w) != "") & F.array_contains(retailer_words, alnum(w))
     return F.coalesce(F.array_max(F.transform(parts, lambda w, i: F.when(junk(w), 0).otherwise(i + 1))), F.lit(0))
 
@@ -163,19 +168,22 @@ def size_number(desc: Column) -> Column:
     return F.replace(first_match(desc, SIZE, 1), F.lit(","), F.lit(".")).cast("double")
 
 
-def _lookup(unit: Column, table: dict[str, float]) -> Column:
-    out = F.lit(None).cast("double")
-    for name, factor in table.items():
-        out = F.when(unit == name, F.lit(factor)).otherwise(out)
-    return out
+def _factor(unit: Column, table: dict[str, float]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), unit)
+
+
+def size_parts(desc: Column) -> dict[str, Column]:
+    """value, ml, g of a text's first size: one match each for the number and the unit."""
+    value, unit = size_number(desc), F.lower(first_match(desc, SIZE, 2))
+    return {"value": value, "ml": value * _factor(unit, vocab.VOLUME), "g": value * _factor(unit, vocab.MASS)}
 
 
 def size_ml(desc: Column) -> Column:
-    return size_number(desc) * _lookup(F.lower(first_match(desc, SIZE, 2)), vocab.VOLUME)
+    return size_parts(desc)["ml"]
 
 
 def size_g(desc: Column) -> Column:
-    return size_number(desc) * _lookup(F.lower(first_match(desc, SIZE, 2)), vocab.MASS)
+    return size_parts(desc)["g"]
 
 
 def size_unit(desc: Column) -> Column:
@@ -183,7 +191,10 @@ def size_unit(desc: Column) -> Column:
 
 
 def pack_count(desc: Column, claim_words: Sequence[str] = vocab.CLAIM_WORDS) -> Column:
-    """The number of units; the first of seven patterns, by rank, that is there."""
+    """The number of units; the first of seven patterns, by rank, that is there.
+
+    Fixed values: "3 x" unless a claim follows, "x 3" unless a size follows, "pack of 3", "3 pack", "twin pack", "3's", "3 count".
+    """
     claims = "|".join(claim_words)
     number = lambda pattern: first_match(desc, pattern).try_cast("int")
     return F.coalesce(

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,10 +35,64 @@ def stray_engines(payloads: DataFrame) -> DataFrame:
     return payloads.select("text", F.array_except(seen, "engines").alias("stray")).where(F.size("stray") > 0)
 
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], *, pause: float = 2.0, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """url, status, http_status, html: pages by an injected getter, a host's pages one after another.
-
-    Private and uncanonical URLs are refused before any call. Server errors and exceptions are
+@dataclass
+class Answer:
+    """What an injected getter gives for one request: no redirect is followed, the body comes in pieces."""
+
+    status: int
+    location: str | None = None
+    body: Iterable[bytes] = ()
+    charset: str = "utf-8"
+
+
+def _allowed(url: str, resolve: Callable[[str], list[str]] | None) -> bool:
+    """Whether a URL's host may be asked: http or https, and every address that it stands for is global."""
+    try:
+        parts = urlsplit(url)
+        name = parts.hostname or ""
+    except ValueError:
+        return False
+    if parts.scheme.lower() not in ("http", "https") or not name:
+        return False
+    if ":" in name or re.search(r"(^|\.)(\d+|0x[0-9a-f]*)\.?$", name):
+        return U.is_global(name)
+    if name.rstrip(".") == "localhost" or name.rstrip(".").endswith(".localhost"):
+        return False
+    if resolve is None:
+        return True
+    try:
+        found = resolve(name)
+    except OSError:
+        return False
+    return bool(found) and all(map(U.is_global, found))
+
+
+def get_guarded(url: str, get: Callable[[str], Answer], *, resolve: Callable[[str], list[str]] | None = None, robots: Callable[[str], bool] | None = None, hops: int = 5, most_bytes: int = 4 << 20) -> tuple[str, int | None, str | None, str]:
+    """status, http_status, text, last url. Each hop is checked anew, before it is asked: the address,
+    what the name resolves to, and the site's rules for robots. Reading stops at most_bytes."""
+    for _ in range(hops + 1):
+        if not _allowed(url, resolve):
+            return "blocked", None, None, url
+        if robots is not None and not robots(url):
+            return "robots", None, None, url
+        answer = get(url)
+        if 300 <= answer.status < 400 and answer.location:
+            url = urljoin(url, answer.location)
+            continue
+        data = bytearray()
+        for piece in answer.body:
+            data += piece
+            if len(data) > most_bytes:
+                return "too_large", answer.status, None, url
+        return ("ok" if answer.status < 400 else "http_error"), answer.status, bytes(data).decode(answer.charset, "replace"), url
+    return "redirects", None, None, url
+
+
+def fetch(urls: DataFrame, get: Callable[[str], Answer], *, resolve: Callable[[str], list[str]] | None = None, robots: Callable[[str], bool] | None = None, hops: int = 5, most_bytes: int = 4 << 20, pause: float = 2.0, retries: int = 3, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """url, status, http_status, html, final_url: pages by an injected getter, a host's pages one after another.
+
+    A host's URLs are all in one task, so its pace holds for the whole run. Private and uncanonical
+    URLs are refused before any call, redirects at every hop (get_guarded). Server errors and exceptions are
     tried again after a growing random wait.
     """
     ready = urls.select("url", U.host(F.col("url")).alias("host"), U.safe(F.col("url")).alias("ok")).repartition("host").sortWithinPartitions("host", "url")
@@ -46,23 +103,23 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], *, pause: floa
             rows = []
             for url, host, ok in zip(f["url"], f["host"], f["ok"], strict=True):
                 if not ok:
-                    rows.append((url, "blocked", None, None))
+                    rows.append((url, "blocked", None, None, url))
                     continue
                 if host == last:
                     sleep(pause)
-                last, code, page = host, None, None
+                last, got = host, ("timeout", None, None, url)
                 for k in range(retries):
                     try:
-                        code, page = get(url)
+                        got = get_guarded(url, get, resolve=resolve, robots=robots, hops=hops, most_bytes=most_bytes)
                     except Exception:  # whatever a getter raises is a failed fetch
-                        code = None
-                    if code is not None and code < 500:
+                        got = ("timeout", None, None, url)
+                    if got[0] != "timeout" and (got[1] or 0) < 500:
                         break
                     sleep(random.uniform(0, 2**k))
-                rows.append((url, "ok" if code is not None and code < 400 else "timeout" if code is None else "http_error", code, page))
-            yield pd.DataFrame(rows, columns=["url", "status", "http_status", "html"]).astype({"http_status": "Int32"})
+                rows.append((url, *got))
+            yield pd.DataFrame(rows, columns=["url", "status", "http_status", "html", "final_url"]).astype({"http_status": "Int32"})
 
-    return ready.mapInPandas(run, "url string, status string, http_status int, html string")
+    return ready.mapInPandas(run, "url string, status string, http_status int, html string, final_url string")
 
 
 def search(queries: DataFrame, find: Callable[[str, int], list[tuple[str, str]]], *, limit: int = 8, pause: float = 2.0, retries: int = 3, sleep: Callable[[float], None] = time.sleep, partitions: int = 1) -> DataFrame:

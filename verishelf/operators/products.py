@@ -54,11 +54,14 @@ def normalize(rows: DataFrame) -> DataFrame:
     retailer = F.transform(T.tokenize(F.concat_ws(" ", "retailer_raw", "retailer")), T.alnum)
     unit = r"(?iU)\bunit\s+\d+\b"
     brand = F.concat(F.lit("(?iU)\\b\\Q"), F.col("brand"), F.lit("\\E\\b"))
-    df = rows.withColumn("_n", T.keep_words(F.col("desc_raw"), retailer))
-    df = df.withColumns({"_a": F.array_join(F.slice(split(F.col("desc_raw")), F.lit(1), F.col("_n")), " "), "_j1": F.reverse(F.slice(split(F.col("desc_raw")), F.col("_n") + 1, F.greatest(F.size(split(F.col("desc_raw"))) - F.col("_n"), F.lit(0))))})
+    df = rows.withColumns({"_p": split(F.col("desc_raw")), "_r": retailer})
+    df = df.withColumn("_n", T.keep_words(F.col("_p"), F.col("_r")))
+    df = df.withColumns({"_a": F.array_join(F.slice("_p", F.lit(1), F.col("_n")), " "), "_j1": F.reverse(F.slice("_p", F.col("_n") + 1, F.greatest(F.size("_p") - F.col("_n"), F.lit(0))))})
     df = df.withColumns({"_b": F.regexp_replace("_a", unit, " "), "_j2": F.regexp_extract_all("_a", F.lit(unit), F.lit(0))})
     sale = lambda w: T.alnum(w).isin(*vocab.UNIT_OF_SALE)
-    df = df.withColumns({"_c": F.array_join(F.filter(split(F.col("_b")), lambda w: ~sale(w)), " "), "_j3": F.filter(split(F.col("_b")), sale)})
+    df = df.withColumn("_s", F.transform(split(F.col("_b")), lambda w: F.struct(w.alias("w"), sale(w).alias("sale"))))
+    word = lambda x: x["w"]
+    df = df.withColumns({"_c": F.array_join(F.transform(F.filter("_s", lambda x: ~x["sale"]), word), " "), "_j3": F.transform(F.filter("_s", lambda x: x["sale"]), word)})
     once, gone = T.without_repeats(F.col("_c"), F.lit(T.SIZE), T.size_key)
     df = df.withColumns({"_d": once, "_j4": gone})
     once, gone = T.without_repeats(F.col("_d"), brand, lambda m: F.lit("brand"))
@@ -66,18 +69,20 @@ def normalize(rows: DataFrame) -> DataFrame:
     df = df.withColumns({"desc_clean": T.collapse(F.when(long, once).otherwise(F.col("_d"))), "_j5": F.when(long, gone).otherwise(F.array().cast("array<string>"))})
     junk = F.filter(F.transform(F.concat("_j1", "_j2", "_j3", "_j4", "_j5"), T.strip), lambda x: x != "")
     desc = F.col("desc_clean")
+    df = df.withColumns({f"_size_{k}": c for k, c in T.size_parts(desc).items()})
+    unit = F.when(F.col("_size_ml").isNotNull(), "ml").when(F.col("_size_g").isNotNull(), "g")
     return df.withColumns(
         {
             "stripped_junk": junk,
-            "size_value": F.when(T.size_unit(desc).isNotNull(), T.size_number(desc)),
-            "size_unit": T.size_unit(desc),
-            "size_ml": T.size_ml(desc),
-            "size_g": T.size_g(desc),
+            "size_value": F.when(unit.isNotNull(), F.col("_size_value")),
+            "size_unit": unit,
+            "size_ml": F.col("_size_ml"),
+            "size_g": F.col("_size_g"),
             "pack_count": T.pack_count(desc),
             "format_hints": T.format_hints(desc),
             "variant_terms": T.variant_terms(desc, F.col("brand"), F.col("brand_owner")),
         }
-    ).drop("_n", "_a", "_b", "_c", "_d", "_j1", "_j2", "_j3", "_j4", "_j5")
+    ).drop("_p", "_r", "_n", "_a", "_b", "_s", "_c", "_d", "_j1", "_j2", "_j3", "_j4", "_j5", "_size_value", "_size_ml", "_size_g")
 
 
 # ---- block keys -----------------------------------------------------------------------------

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verishelf.operators.products import normalize, read_records, with_keys
-from verishelf.operators.match import parse_pages
-from verishelf.sources.tables import cut
+from verishelf.operators.match import parse_pages, parse_records
+from verishelf.sources.tables import cut, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,7 @@ def retailers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized and keyed records of the product list, written once: several consumers read each
     column, and the optimizer would otherwise inline the parsers into every one of them."""
-    raw = raw_products(spark, sf_dir)
+    raw = spread(raw_products(spark, sf_dir), "p_partkey")
     return cut(with_keys(cut(normalize(read_records(raw, "dev", F.col("p_partkey"), retailers(spark, sf_dir))))))
 
 
@@ -56,11 +56,17 @@ def pages_of(products_df: DataFrame) -> DataFrame:
     return products_df.select(F.col("brand").alias("page_brand"), F.col("_size").alias("page_size"), url.alias("url"), F.col("desc_raw").alias("title"), F.lit("").alias("body_text"), F.col("barcode").alias("gtin"))
 
 
-def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record with the pages of its brand and size class."""
-    own = products(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.col("p_size").alias("_size")), "row_index")
+def candidate_pairs(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Each record (of rows, if they are there already) with the pages of its brand and size class.
+
+    Both sides are parsed before they meet, and pairs are dealt by record before they are compared,
+    which is how the ranking needs them.
+    """
+    own = products(spark, sf_dir) if rows is None else rows
+    own = own.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.col("p_size").alias("_size")), "row_index")
     pages = cut(parse_pages(pages_of(own)))
-    return own.join(pages, (F.col("brand") == F.col("page_brand")) & (F.col("_size") == F.col("page_size"))).drop("page_brand", "page_size", "_size")
+    pairs = cut(parse_records(own)).join(pages, (F.col("brand") == F.col("page_brand")) & (F.col("_size") == F.col("page_size")))
+    return pairs.drop("page_brand", "page_size", "_size").repartition("row_uid")
 
 
 #: The same records in SQL, from how the list was made.

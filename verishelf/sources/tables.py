@@ -99,12 +99,21 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if named is None and (not master.startswith("local") or master.startswith("local-cluster")):
             raise ValueError("spark.checkpoint.dir is not set")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="verishelf-"))
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt to all cores by columns if it comes in fewer parts than there are cores; others stay as they are.
+
+    A table of one small file is one part, and all that is parsed from it one task.
+    """
+    return df.repartition(*by) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def global_rank(df: DataFrame, by: list, name: str, rows_per_task: int = 500_000) -> tuple[DataFrame, int]:
     """df with its 1-based rank in a total order, and the number of rows."""
     first = cut(df)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +27,12 @@ SKIPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toc toolbar topbar widget".split()
 )
 CONTENT_WORDS = frozenset("article articlebody body content entry main page post story text".split())
+#: Words of readers' discussions, which may well be longer than the article; and of a paragraph about it.
+DISCUSSION_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+BYLINE_WORDS = frozenset("author byline credit date dateline meta posted published time timestamp".split())
+#: First words of names that say what a page has, not what a container is: has-sidebar, no-comments.
+STATE_WORDS = frozenset("has hide is no not show with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -36,6 +42,15 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
+#: What a start tag closes, and within what: the tags it ends, those beyond which it doesn't look.
+_ENDS = {
+    **{t: (("p",), (*CONTAINERS, "li", "dd")) for t in CLOSES_P},
+    "li": (("li", "p"), ("ul", "ol", "menu")),
+    **{t: (("dd", "dt", "p"), ("dl",)) for t in ("dd", "dt")},
+    **{t: (("td", "th"), ("table",)) for t in ("td", "th")},
+    "tr": (("tr",), ("table",)),
+    "option": (("option",), (*CONTAINERS, "li", "dd")),
+}
 
 
 #: Characters of a path that are kept as they are; of a longer one, a hash of all of it follows them.
@@ -45,13 +60,18 @@ _SPECIAL = re.compile(r"[>\"']")
 
 @dataclass
 class Node:
+    """skipped: nothing of it is main text. doubt: its name says so ("discussion" if of readers), its text may not.
+    header: of it, headings and paragraphs remain inside the main text."""
+
     tag: str
     path: str
     skipped: bool
     hint: float = 1.0
-    parent: Node | None = None
     children: list = field(default_factory=list)
     score: float = 0.0
+    doubt: str = ""
+    header: bool = False
+    byline: bool = False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -63,11 +83,13 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _opened(tag: str, attributes: str, parent: Node) -> Node:
     a = _attributes(attributes) if attributes.strip(" /\t\r\n") else {}
-    names = [n for n in f"{a.get('class', '')} {a.get('id', '')}".split() if n]
-    parts = {p.lower().rstrip("0123456789") for n in names for p in _PARTS.split(n)}
+    names = [[p for x in _PARTS.split(n) if (p := x.lower().rstrip("0123456789"))] or [""] for n in f"{a.get('class', '')} {a.get('id', '')}".split()]
+    parts = {p for n in names for p in n}
+    last = {n[-1] for n in names if n[0] not in STATE_WORDS or len(n) == 1}
     skipped = tag in SKIPPED or a.get("role", "").lower() in SKIPPED_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-    if tag not in ("article", "main", "body", "html"):
-        skipped = skipped or bool(parts & SKIPPED_WORDS)
+    doubt = ""
+    if not skipped and tag not in ("article", "main") and (found := last & SKIPPED_WORDS):
+        doubt = "discussion" if found & DISCUSSION_WORDS else "name"
     path = parent.path
     if tag in CONTAINERS:
         classes = sorted({re.sub(r"\d+", "#", n.lower()) for n in a.get("class", "").split()})
@@ -75,7 +97,7 @@ def _opened(tag: str, attributes: str, parent: Node) -> Node:
         if len(path) > MAX_PATH:
             path = f"{path[:MAX_PATH]}~{xxhash.xxh3_128_hexdigest(path.encode('utf-8', 'surrogatepass'))}"
     hint = {"article": 2.0, "main": 1.5}.get(tag, 1.0) * (1.25 if parts & CONTENT_WORDS else 1.0)
-    return Node(tag, path, skipped, hint, parent)
+    return Node(tag, path, skipped, hint, doubt=doubt, header=tag == "header" or bool(last & {"header", "masthead"}), byline=bool(parts & BYLINE_WORDS))
 
 
 def _tag_end(page: str, at: int, open_: set[int]) -> int | None:
@@ -92,16 +114,28 @@ def _tag_end(page: str, at: int, open_: set[int]) -> int | None:
 
 
 def parse(page: str) -> Node:
-    """A tree of elements and text. Tags left open are closed by what must follow them."""
-    root = now = Node("body", "", False)
+    """A tree of elements and text. Tags left open are closed by what must follow them.
+
+    Takes time in proportion to the page: where each tag is open is known without looking.
+    """
+    root = Node("body", "", False)
+    stack, where = [root], defaultdict(list)
     at, open_, last = 0, set(), page.rfind(">")
+
+    def shut(depth: int) -> None:
+        while len(stack) > depth:
+            where[stack.pop().tag].pop()
+
+    def deepest(tags: tuple[str, ...]) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
-            now.children.append(html.unescape(text) if "&" in text else text)
+            stack[-1].children.append(html.unescape(text) if "&" in text else text)
         if not m:
-            return root
+            return _settled(root)
         at = m.end()
         long = _tag_end(page, m.end(5), open_) if m[5] and m.end(5) <= last else None
         at = at if long is None else long + 1
@@ -109,30 +143,63 @@ def parse(page: str) -> Node:
         if not tag or tag in ("html", "body"):
             continue
         if m[1] or m[4]:
-            node = now
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                now = node.parent
+            if where.get(tag):
+                shut(where[tag][-1])
             elif tag in BLOCKS:
-                now.children.append(Node("br", now.path, False, 1.0, now))
+                stack[-1].children.append(Node("br", stack[-1].path, False))
             continue
         attributes = m[3] if m[2] else m[6] or "" if long is None else page[m.end(5) : long]
-        node = now
-        if tag in CLOSES_P or tag in ("dd", "dt", "td", "th", "tr", "option"):
-            ends = {"li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}.get(tag, ("p",))
-            stop = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td": ("table",), "th": ("table",), "tr": ("table",)}.get(tag, CONTAINERS | {"li", "dd"})
-            while node is not root and node.tag not in ends and node.tag not in stop:
-                node = node.parent
-            if node is not root and node.tag in ends:
-                now = node.parent
-        child = _opened(tag, attributes, now)
-        now.children.append(child)
+        if tag in _ENDS:
+            ends, stops = _ENDS[tag]
+            if (depth := deepest(ends)) > deepest(stops):
+                shut(depth)
+        child = _opened(tag, attributes, stack[-1])
+        stack[-1].children.append(child)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not attributes.endswith("/"):
-            now = child
+            where[tag].append(len(stack))
+            stack.append(child)
+
+
+def _settled(root: Node) -> Node:
+    """Decides the containers in doubt: one goes if its name is that of a menu, a notice and so on,
+
+    unless it holds an article or main element, or, but for readers' discussions, over two thirds of
+    the page's text and little of that in links. If nothing were left of the page, all stay.
+    """
+    order: list[tuple[Node, int, bool]] = []
+    todo: list[tuple[Node, int, bool]] = [(root, -1, False)]
+    while todo:
+        node, above, link = todo.pop()
+        if node.skipped:
+            continue
+        link = link or node.tag == "a"
+        order.append((node, above, link))
+        todo.extend((c, len(order) - 1, link) for c in node.children if isinstance(c, Node))
+    if not any(node.doubt for node, _, _ in order):
+        return root
+    sizes, links, main = [0] * len(order), [0] * len(order), [False] * len(order)
+    for i in range(len(order) - 1, -1, -1):
+        node, above, link = order[i]
+        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        sizes[i] += own
+        links[i] += own if link else 0
+        if above >= 0:
+            sizes[above] += sizes[i]
+            links[above] += links[i]
+            main[above] = main[above] or main[i] or node.tag in ("article", "main")
+    left, gone = 0, [False] * len(order)
+    for i, (node, above, _) in enumerate(order):
+        stays = main[i] or (node.doubt != "discussion" and 3 * sizes[i] > 2 * sizes[0] and 2 * links[i] < sizes[i])
+        node.skipped = bool(node.doubt) and not stays
+        gone[i] = node.skipped or (above >= 0 and gone[above])
+        left += 0 if gone[i] else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+    if not left:
+        for node, _, _ in order:
+            node.skipped = False
+    return root
 
 
 def _score(root: Node) -> list[Node]:
@@ -159,26 +226,34 @@ def _score(root: Node) -> list[Node]:
 
 
 def best_path(root: Node) -> tuple[str, float] | None:
-    """The generalised path of the page's best container; of equals, the outermost."""
+    """The generalised path of the page's best container; of equals, the outermost.
+
+    A page all of whose text is in links has the path of its body, with the score 0.
+    """
     scored = [(n.score * n.hint, -i, n.path) for i, n in enumerate(_score(root))]
-    best = max(scored, default=None)
-    return (best[2], best[0]) if best and best[0] > 0 else None
+    best = max(scored)
+    return (best[2], best[0]) if best[0] > 0 or extract(root, [""]) else None
 
 
 def _text(node: Node, out: list[str]) -> None:
-    todo: list = [(node, False)]
+    """Appends the text inside node; of headers in it, headings and paragraphs but bylines."""
+    todo: list = [(node, False, False)]
     while todo:
-        x, inside = todo.pop()
+        x, inside, header = todo.pop()
         if isinstance(x, str):
-            out.append(x)
+            if not header:
+                out.append(x)
             continue
-        if x.skipped and inside and not (x.tag == "header" and x.parent is not None):
+        if header and not (x.skipped and not x.header) and (x.tag in HEADINGS or (x.tag == "p" and not x.byline)):
+            header = False
+        elif inside and x.header:
+            header = True
+        elif x.skipped and inside:
             continue
-        children = [c for c in x.children if isinstance(c, Node) and c.tag in ("h1", "h2", "h3", "hgroup")] if x.tag == "header" and inside else x.children
         edge = " " if x.tag in BLOCKS else ""
-        todo.append((edge, True))
-        todo.extend((c, True) for c in reversed(children))
-        todo.append((edge, True))
+        todo.append((edge, True, False))
+        todo.extend((c, True, header) for c in reversed(x.children))
+        todo.append((edge, True, False))
 
 
 def extract(root: Node, paths: list[str]) -> str:

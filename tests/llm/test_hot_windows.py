@@ -1,26 +1,29 @@
-"""Windows of hot anchors in the sort."""
+"""Windows of hot anchors, and other lengths than the query's."""
 
-import pyarrow as pa
+import random
 
-from verishelf.llm import suffix_array
+import pytest
+from pyspark.sql import functions as F
 
+from tests.llm.test_suffix_array import _brute, _texts
+from verishelf.llm.suffix_array import _repeated_hot, kept_digest, remove_repeats
 
-def test_hot_windows_never_reach_a_suffix_array(spark, monkeypatch):
-    held = []
 
-    class Parts:
-        def repartition(self, *a):
-            return self
+def test_equal_hot_windows_keep_their_first_place(spark):
+    rows = spark.range(60_000).select(F.lit(1).alias("key"), F.when(F.col("id") % 3 == 0, 2).otherwise(F.col("id")).alias("print"), (F.lit(70_000) - F.col("id")).alias("doc"), F.lit(7).cast("long").alias("first"))
+    found = _repeated_hot(rows)
+    assert found.count() == 20_000 and found.agg(F.min("doc"), F.max("count")).first() == (10_006, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
 
-        def sortWithinPartitions(self, *by):
-            assert by == ("key", "print", "doc", "first")
-            return self
 
-        def mapInArrow(self, run, schema):
-            return run
-
-    monkeypatch.setattr(suffix_array, "repeated_windows", lambda *a: held.append(a))
-    n = 5000
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array([2] * n), pa.array(range(n)), pa.array([7] * n), pa.nulls(n, pa.binary())], names=["key", "print", "doc", "first", "part"])
-    out = [r for b in suffix_array._sorted_shards(Parts(), 100, 1 << 20)(iter([batch])) for r in b.to_pylist()]
-    assert not held and [r["doc"] for r in out] == list(range(1, n)) and all(r["first"] == 7 and r["count"] == 1 for r in out)
+def test_other_lengths(spark):
+    rng = random.Random(4)
+    rows = list(enumerate(_texts(rng))) + [(200, "q" * 50 + "xyz" * 400), (201, "xyz" * 300 + "end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for length, hot in ((16, 20_000), (16, 2), (400, 20_000), (400, 2)):
+        got = kept_digest(remove_repeats(df, length=length, hot_variants=hot))
+        assert sorted(tuple(r) for r in got.collect()) == sorted(_brute(rows, length))
+    for length in (15, 1 << 20):
+        with pytest.raises(ValueError):
+            remove_repeats(df, length=length)

@@ -17,9 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verishelf.llm._common import cut, raw_bytes, slices
+from verishelf.llm._common import cut, lookup, raw_bytes, slices
 
 GRAM = 16
+#: Bits of a segment's number of windows; a segment has length - GRAM + 1 of them at most.
+COUNT_BITS = 20
 _U64 = np.uint64
 #: Windows of a text that are handled at once; positions fit in 24 bits.
 PIECE = 1 << 22
@@ -177,7 +179,7 @@ def segments_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _pack(first: np.ndarray, count: np.ndarray, known: np.ndarray | int = 0) -> np.ndarray:
-    return first << 9 | count << 1 | known
+    return first << COUNT_BITS + 1 | count << 1 | known
 
 
 def _segments(docs: DataFrame, length: int) -> DataFrame:
@@ -252,9 +254,9 @@ def _fold(segments: DataFrame) -> DataFrame:
     return segments.repartition("key").sortWithinPartitions("anchor", "print", "doc", "at").mapInArrow(run, "doc long, at long, anchor long")
 
 
-def _texts_of(firsts: DataFrame, docs: DataFrame, length: int, hot: DataFrame) -> DataFrame:
-    """key, print, doc, first, part: the bytes of first segments; of hot anchors, two hashes of each window."""
-    wanted = firsts.join(hot, "anchor", "left").groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("parts"))
+def _texts_of(firsts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """key, print, doc, first, part: the bytes of first segments; where is_hot, two hashes of each window."""
+    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", F.col("is_hot").alias("hot"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "print", "doc", "first", "part"]
@@ -263,7 +265,7 @@ def _texts_of(firsts: DataFrame, docs: DataFrame, length: int, hot: DataFrame) -
             for d, t, row in zip(batch.column("doc").to_pylist(), raw_bytes(batch.column("text")), batch.column("parts"), strict=True):
                 row = row.values
                 for anchor, at, is_hot in zip(*(row.field(c).to_pylist() for c in ("anchor", "at", "hot")), strict=True):
-                    at, n = at >> 9, at >> 1 & 0xFF
+                    at, n = at >> COUNT_BITS + 1, at >> 1 & (1 << COUNT_BITS) - 1
                     for s, m in [(at + i, 1) for i in range(n)] if is_hot else [(at, n)]:
                         text = t[s : s + m + length - 1]
                         key.append(xxhash.xxh64_intdigest(text) - 2**63 if is_hot else anchor)
@@ -281,14 +283,10 @@ def _texts_of(firsts: DataFrame, docs: DataFrame, length: int, hot: DataFrame) -
 
 
 def _sorted_shards(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """doc, first, count: runs of windows that start earlier elsewhere, among first segments.
-
-    Windows of hot anchors come in order: the first of equal ones stays, the others go at once.
-    """
+    """doc, first, count: runs of windows that start earlier elsewhere, among first segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, first, part, held = [], [], [], [], 0
-        seen = None
 
         def solve(n: int) -> pa.RecordBatch:
             d, s = np.array(doc[:n], dtype=np.int64), np.array(first[:n], dtype=np.int64)
@@ -303,15 +301,8 @@ def _sorted_shards(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(d[owner[runs]]), pa.array(start[at[runs]]), pa.array(np.diff(np.concatenate([runs, [len(at)]])))], names=["doc", "first", "count"])
 
         for batch in slices(batches):
-            ks = batch.column("key").to_pylist()
-            again: list[tuple[int, int]] = []
-            rows = zip(ks, batch.column("print").to_pylist(), batch.column("doc").to_pylist(), batch.column("first").to_pylist(), batch.column("part").to_pylist(), strict=True)
-            for k, q, d, s, p in rows:
-                if p is None:
-                    if seen == (k, q):
-                        again.append((d, s))
-                    seen = (k, q)
-                    continue
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "first", "part")), strict=True)
+            for k, d, s, p in rows:
                 if held > shard_bytes and k != key[-1]:
                     yield solve(len(key))
                     key, doc, first, part, held = [], [], [], [], 0
@@ -320,13 +311,19 @@ def _sorted_shards(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame
                 first.append(s)
                 part.append(p)
                 held += len(p)
-            if again:
-                d, s = np.array(again, dtype=np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(np.ones(len(s), dtype=np.int64))], names=["doc", "first", "count"])
         if key:
             yield solve(len(key))
 
-    return parts.repartition("key").sortWithinPartitions("key", "print", "doc", "first").mapInArrow(run, "doc long, first long, count long")
+    return parts.select("key", "doc", "first", "part").repartition("key").sortWithinPartitions("key", "doc", "first").mapInArrow(run, "doc long, first long, count long")
+
+
+def _repeated_hot(windows: DataFrame) -> DataFrame:
+    """doc, first, count: all but the first of equal windows. A window's first place is a group
+    minimum, combined where windows are read, so a window that very many texts share meets in no task."""
+    place = F.struct("doc", "first")
+    places = windows.withColumn("window", F.struct("key", "print")).select("window", "doc", "first")
+    lows = places.groupBy("window").agg(F.min(place).alias("low"), F.count("*").alias("m"))
+    return lookup(places, cut(lows.where("m > 1")), "window", "m").where(place != F.col("low")).select("doc", "first", F.lit(1).cast("long").alias("count"))
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 1 << 20, hot_variants: int = 20_000, id_col: str = "doc_id") -> DataFrame:
@@ -336,18 +333,21 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 1 <
     may overlap but never cross texts, and all are judged on the input. Rows are ordered by
     doc_id, nulls last, rows of equal doc_id by a hash of the text and repeated rows one after
     another, each a document of its own. Null texts are empty; texts shorter than `length` stay.
+    A length under 16 or over a million bytes is an error.
 
     Returns per row: id_col, text (null read as empty), removed: an array of (start, end) byte
-    ranges, merged and sorted.
+    ranges, merged and sorted. Other columns are left out; an empty table gives none.
 
-    An anchor with more than hot_variants different segments is dealt out window by window, by a
-    hash of the window, and equal windows are folded as they stream by, so no shard grows with a
-    frequent string; equal segments are folded where
-    they are read and again in the shuffle.
+    Equal segments are folded where they are read and again in the shuffle. An anchor with more than
+    hot_variants different segments is dealt out window by window, and its equal windows are
+    grouped without being sorted; so no shard grows with a frequent string. Which anchors these are is broadcast up
+    to 100,000 of them, and joined beyond it.
     """
+    if not GRAM <= length < 1 << COUNT_BITS:
+        raise ValueError(f"length must be from {GRAM} to {(1 << COUNT_BITS) - 1}")
     base = docs.select(F.col(id_col), F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(base.dtypes)[id_col]
-    plain = kind in ("bigint", "int") and not base.groupBy(id_col).count().where(f"count > 1 or {id_col} is null").take(1)
+    plain = kind in ("bigint", "int") and not base.groupBy(id_col).count().where(f"count > 1 or `{id_col}` is null").take(1)
     if plain:
         base = base.withColumn("doc", F.col(id_col).cast("long"))
     else:
@@ -358,9 +358,15 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 1 <
     keyed = base.select("doc", "text").where("doc is not null")
     folded = cut(_fold(_segments(keyed, length)))
     firsts = folded.where("anchor is not null")
-    hot = firsts.groupBy("anchor").count().where(F.col("count") > hot_variants).select("anchor", F.lit(True).alias("is_hot"))
-    found = _sorted_shards(_texts_of(firsts, keyed, length, hot), length, shard_bytes)
-    whole = folded.where("anchor is null").select("doc", F.shiftright("at", 9).alias("first"), (F.shiftright("at", 1).bitwiseAND(F.lit(0xFF))).cast("long").alias("count"))
+    hot = cut(firsts.groupBy("anchor").count().where(F.col("count") > hot_variants).select("anchor", F.lit(True).alias("hot")))
+    n_hot = hot.count()
+    if n_hot:
+        marked = firsts.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "anchor", "left").withColumn("is_hot", F.coalesce("hot", F.lit(False))).drop("hot")
+        parts = cut(_texts_of(marked, keyed, length))
+        found = _sorted_shards(parts.where("part is not null"), length, shard_bytes).unionByName(_repeated_hot(parts.where("part is null")))
+    else:
+        found = _sorted_shards(_texts_of(firsts.withColumn("is_hot", F.lit(False)), keyed, length), length, shard_bytes)
+    whole = folded.where("anchor is null").select("doc", F.shiftright("at", COUNT_BITS + 1).alias("first"), F.shiftright("at", 1).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("long").alias("count"))
     runs = whole.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +389,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, shard_bytes: int = 1 <
         joined = keyed.join(runs, "doc", "left").select(F.col("doc").cast(kind).alias(id_col), "text", "runs")
     else:
         joined = base.join(runs, "doc", "left").select(id_col, "text", "runs")
-    return joined.mapInArrow(merge, f"{id_col} {kind}, text string, removed array<struct<start:long,end:long>>")
+    return joined.mapInArrow(merge, f"`{id_col}` {kind}, text string, removed array<struct<start:long,end:long>>")
 
 
 def kept_digest(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -405,4 +411,4 @@ def kept_digest(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 digests.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(digests, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed.mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

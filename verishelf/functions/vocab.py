@@ -39,6 +39,7 @@ CHARACTERISTICS = (
     "GLOBAL_ORAL_CARE_FUNCTION", "GLOBAL_IF_WITH_FLUORIDE", "GLOBAL_FLAVOUR_FRAGRANCE_INGREDIENT_GROUP", "GLOBAL_METHOD_OF_APPLICATION_DISPENSE", "GLOBAL_PACKAGING_MATERIAL",
     "GLOBAL_DESCRIPTIVE_SIZE_OF_TOOTHBRUSH_HEAD_CLAIM", "GLOBAL_BRISTLE_STRENGTH_CLAIM",
 )
+CHARACTERISTIC_ALIASES = {"GLOBAL IF WITH INTERSPACE CLAIM": "GLOBAL_INTERSPACE_CLAIM"}
 OUTPUT_COLUMNS = ("ITEM_CODE", "NAN_KEY", "EXTERNAL_CODE", "COUNTRY", "RETAILER_DESC", "RETAILER", "BRAND", "PRODUCT_URL", "REASONING", "MODULE", *CHARACTERISTICS)
 STAGES = ("normalize", "retrieve", "fetch", "match", "classify", "characteristics", "reason", "assemble")
 STRATEGY_ORDER = ("S2", "S3", "S4", "S5", "S1")
@@ -46,7 +47,7 @@ STRATEGY_ORDER = ("S2", "S3", "S4", "S5", "S1")
 
 @dataclass(frozen=True)
 class MatchConfig:
-    """Weights and penalties of the matcher; the weights sum to one."""
+    """Weights and penalties of the matcher; the weights sum to one. The defaults are fixed values."""
 
     brand: float = 0.35
     variant: float = 0.30
@@ -68,6 +69,8 @@ class MatchConfig:
 
 @dataclass(frozen=True)
 class RetrievalConfig:
+    """Limits of a search. The defaults are fixed values."""
+
     candidates: int = 20
     fetch_budget: int = 8
     per_strategy: int = 8
@@ -79,6 +82,8 @@ class RetrievalConfig:
 
 @dataclass(frozen=True)
 class RegistryConfig:
+    """Thresholds of the registry. The defaults are fixed values."""
+
     tau_ann: float = 0.75
     tau_merge: float = 0.95
     tau_abstain: float = 0.0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verishelf.sources.tables import cut, global_rank
+
 
 def harvest(scored: DataFrame) -> DataFrame:
     """row_uid, url, score, correct for pairs whose barcodes can be compared."""
@@ -39,14 +41,22 @@ def fit_isotonic(pairs: DataFrame, *, least: int = 1, max_scores: int = 100_000)
 
 
 def predict(score: Column, curve: list[tuple[float, float]]) -> Column:
-    """The value of the last threshold at or under the score; the first value under all of them."""
-    table = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(v)).alias("v")) for t, v in curve])
-    under = F.filter(table, lambda s: s["t"] <= score)
-    return F.coalesce(F.try_element_at(under, F.lit(-1))["v"], F.lit(float(curve[0][1])))
+    """The value of the last threshold at or under the score; the first value under all of them.
+
+    The thresholds are one literal array, in which a score's place is found by halving: as many
+    comparisons as the logarithm of the curve's length.
+    """
+    at = F.array(*[F.lit(float(t)) for t, _ in curve])
+    values = F.array(*[F.lit(float(v)) for _, v in curve])
+    place = F.aggregate(F.array(*[F.lit(1 << k) for k in range(len(curve).bit_length() - 1, -1, -1)]), F.lit(0), lambda n, step: F.when(F.coalesce(F.try_element_at(at, n + step) <= score, F.lit(False)), n + step).otherwise(n))
+    return F.when(score.isNotNull(), F.element_at(values, F.greatest(place, F.lit(1))))
 
 
 def curve_of(fitted: DataFrame, most: int = 100_000) -> list[tuple[float, float]]:
-    rows = [(r["threshold"], r["value"]) for r in fitted.orderBy("threshold").limit(most).collect()]
+    """The steps of a curve in order. More than `most`, or steps that don't rise, raise."""
+    rows = [(r["threshold"], r["value"]) for r in fitted.orderBy("threshold").limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"the curve has more than {most} steps")
     if any(a[0] >= b[0] or a[1] > b[1] for a, b in zip(rows, rows[1:])):
         raise ValueError("the curve must rise")
     return rows
@@ -77,25 +87,36 @@ def abstention(scored: DataFrame, steps: int = 10) -> DataFrame:
 def grouped_folds(pairs: DataFrame, group: str, k: int) -> DataFrame:
     """pairs with fold: the dense rank of the group modulo k, so a group is in one fold."""
     groups = pairs.select(group).distinct()
-    from verishelf.sources.tables import global_rank
-
     ranked, _ = global_rank(groups, [group], "_r")
     return pairs.join(ranked, group).withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
-def held_out(pairs: DataFrame, group: str, k: int) -> DataFrame:
-    """pairs with p: each fold judged by the curve of the others."""
-    folded = grouped_folds(pairs, group, k)
+def held_out(pairs: DataFrame, group: str, k: int, *, least: int = 1) -> DataFrame | None:
+    """pairs with p: each fold judged by the curve of the others.
+
+    None if there are fewer groups than folds, or a fold's others can't be fitted (fewer than
+    `least` pairs, one class only).
+    """
+    folded = cut(grouped_folds(pairs, group, k))
+    sizes = folded.groupBy("fold").agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("double")).alias("y")).collect()
+    n, y = sum(r["n"] for r in sizes), sum(r["y"] for r in sizes)
+    if len(sizes) < k or any(n - r["n"] < least or y - r["y"] in (0, n - r["n"]) for r in sizes):
+        return None
     out = None
     for i in range(k):
-        own = folded.where(F.col("fold") == i)
-        if not own.take(1):
-            continue
-        part = own.withColumn("p", predict(F.col("score"), curve_of(fit_isotonic(folded.where(F.col("fold") != i)))))
+        part = folded.where(F.col("fold") == i).withColumn("p", predict(F.col("score"), curve_of(fit_isotonic(folded.where(F.col("fold") != i), least=least))))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def held_out_error(pairs: DataFrame, group: str, k: int, *, least: int = 1, bins: int = 10) -> DataFrame:
+    """ece: the calibration error of curves on pairs that they haven't seen; null where held_out gives None."""
+    judged = held_out(pairs, group, k, least=least)
+    if judged is None:
+        return pairs.sparkSession.range(1).select(F.lit(None).cast("double").alias("ece"))
+    return calibration_error(reliability(judged, bins))
+
+
 def rising(curve: DataFrame) -> DataFrame:
     """Steps of a stored curve that don't rise."""
     by = Window.orderBy("threshold")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -127,14 +129,54 @@ def strip_fences(c: Column) -> Column:
 
 def render(template: str, **fields: Column) -> Column:
     """A template with {name} places filled in one pass; unknown and missing names raise."""
-    import re
-
     pieces = re.split(r"\{(\w+)\}", template)
     if set(pieces[1::2]) != set(fields):
         raise ValueError("the template's places and the fields differ")
     return F.concat(*[F.lit(p) if i % 2 == 0 else fields[p] for i, p in enumerate(pieces)])
 
 
+def complete_json(prompts: DataFrame, model: Callable[[str], str], fields: dict[str, type | tuple[type, ...]], key: str = "key", *, retry: str | None = "Your answer was refused: {error}. Answer again.", max_calls: int | None = None) -> DataFrame:
+    """key, answer, error, calls: answers of an injected model that are JSON objects with these fields and no others.
+
+    An answer that isn't is asked for once more, with the error at the end of the prompt; a second
+    bad answer gives a null answer and the error, never free text. Fences around an answer go. Each distinct
+    key is asked once; more of them than max_calls / 2 might need more than max_calls calls, and raise before the first.
+    """
+    asked = prompts.select(key, "prompt").dropDuplicates([key])
+    if max_calls is not None and (n := asked.count()) * (2 if retry else 1) > max_calls:
+        raise ValueError(f"{n} questions may take more than {max_calls} calls")
+
+    def read(text: str) -> str:
+        bare = re.sub(r"(?s)^```[a-zA-Z]*\n?|\n?```$", "", text.strip()).strip()
+        value = json.loads(bare)
+        if not isinstance(value, dict):
+            raise ValueError("not an object")
+        if missing := sorted(set(fields) ^ set(value)):
+            raise ValueError(f"missing or unknown: {', '.join(missing)}")
+        for name, kind in fields.items():
+            if not isinstance(value[name], kind) or (isinstance(value[name], bool) and bool not in (kind if isinstance(kind, tuple) else (kind,))):
+                raise ValueError(f"{name} has another type")
+        return json.dumps(value, sort_keys=True, ensure_ascii=False)
+
+    def one(prompt: str) -> tuple[str | None, str | None, int]:
+        try:
+            return read(model(prompt)), None, 1
+        except ValueError as first:
+            if retry is None:
+                return None, str(first), 1
+            try:
+                return read(model(f"{prompt}\n\n{retry.format(error=first)}")), None, 2
+            except ValueError as second:
+                return None, str(second), 2
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [one(p) for p in f["prompt"]]
+            yield pd.DataFrame({key: f[key], "answer": [g[0] for g in got], "error": [g[1] for g in got], "calls": [g[2] for g in got]})
+
+    return asked.mapInPandas(run, f"{key} string, answer string, error string, calls int")
+
+
 def complete(prompts: DataFrame, model: Callable[[str], str], key: str = "key", cache: DataFrame | None = None, max_calls: int | None = None) -> DataFrame:
     """key, answer: an injected model's answers, from the cache where it has them.
 

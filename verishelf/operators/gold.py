@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verishelf.functions.text import collapse, strip
+from verishelf.functions.text import characteristic_name, collapse, format_g, strip
+from verishelf.functions.vocab import CHARACTERISTIC_ALIASES, CHARACTERISTICS
 from verishelf.operators import textmodel as M
 
 GOLD_URLS = "row_uid string, url string, label string, evidence string"
@@ -119,7 +120,11 @@ def cross_validate(docs: DataFrame, k: int, doc: str = "doc", text: str = "text"
     they train, and all k models are fitted in the same pass. Frequencies, vectors and
     centroids are those that a model of these folds alone would have.
     """
-    folded = M.stratified_folds(docs, label, doc, k)
+    return _refitted(docs, M.stratified_folds(docs, label, doc, k), k, doc, text, label)
+
+
+def _refitted(docs: DataFrame, folded: DataFrame, k: int, doc: str, text: str, label: str) -> DataFrame:
+    """cross_validate over given folds from 0 to k - 1."""
     counted = M.terms(folded, doc, text).join(folded.select(doc, label, "fold"), doc)
     outs = counted.withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     train = outs.where("out <> fold")
@@ -134,16 +139,44 @@ def cross_validate(docs: DataFrame, k: int, doc: str = "doc", text: str = "text"
     return folded.join(best, doc, "left").join(F.broadcast(least)).select(doc, F.col(label).alias("truth"), F.coalesce("pred", "_first").alias("pred"))
 
 
+def leave_one_out(docs: DataFrame, doc: str = "doc", text: str = "text", label: str = "label", *, most: int = 2000) -> DataFrame:
+    """doc, truth, pred: each document by a model of all others.
+
+    As many models as documents, all in the one pass of cross_validate with a fold a document; its work
+    and rows are the square of their number, so more than `most` raise. Documents are many: use folds then.
+    """
+    n = docs.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} documents: cross_validate takes them in folds")
+    ranked = docs.withColumn("fold", F.row_number().over(Window.orderBy(doc)) - 1)  # at most `most` rows
+    return _refitted(docs, ranked, n, doc, text, label)
+
+
 def long_labels(table: DataFrame, columns: list[str], uid: str = "row_uid") -> DataFrame:
     """uid, characteristic, value: label columns in long form; blank cells are null."""
     own = [F.when(strip(F.col(c)) != "", strip(F.col(c))).alias(c) for c in columns]
     return table.select(uid, *own).unpivot(uid, columns, "characteristic", "value")
 
 
+def name_problems(names: DataFrame, column: str = "characteristic") -> DataFrame:
+    """name, problem: characteristics that aren't output columns, and output columns that no row names."""
+    own = names.select(F.col(column).alias("name")).distinct()
+    known = names.sparkSession.createDataFrame([(c,) for c in CHARACTERISTICS], "name string")
+    return own.join(known, "name", "left_anti").withColumn("problem", F.lit("not a column")).unionAll(known.join(own, "name", "left_anti").withColumn("problem", F.lit("not named")))
+
+
+def orphan_modules(guidelines: DataFrame, rules: DataFrame) -> DataFrame:
+    """module: those of the guidelines that the rules don't have."""
+    return guidelines.select("module").distinct().join(rules.select("module").distinct(), "module", "left_anti")
+
+
+def guideline_rows(sheet: DataFrame) -> DataFrame:
+    """module, characteristic, guideline of a sheet with the columns MODULE NAME, CHARACTERISTICS NAME, Guidelines."""
+    return sheet.select(strip(F.col("MODULE NAME")).alias("module"), characteristic_name(F.col("CHARACTERISTICS NAME"), CHARACTERISTIC_ALIASES).alias("characteristic"), F.col("Guidelines").alias("guideline"))
+
+
 def as_text(number: Column) -> Column:
     """A number in a model's answer as short text."""
-    from verishelf.functions.text import format_g
-
     return format_g(number.cast("double"))
 
 

@@ -95,8 +95,10 @@ def cards(stages: dict[str, DataFrame]) -> DataFrame:
 
 
 def explorer_page(card_table: DataFrame, title: str, most: int = 5_000) -> str:
-    """A page of at most `most` cards, with a search box, that needs no other file."""
-    rows = [json.loads(r["card"]) | {"row_uid": r["row_uid"]} for r in card_table.orderBy("row_uid").limit(most).collect()]
+    """A page of cards, with a search box, that needs no other file. More than `most` raise: a page is for a person."""
+    rows = [json.loads(r["card"]) | {"row_uid": r["row_uid"]} for r in card_table.orderBy("row_uid").limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} cards")
     data = json.dumps(rows, ensure_ascii=False).replace("</", "<\\/")
     return (
         f"<!doctype html><meta charset=utf-8><title>{title}</title><h1>{title}</h1><input id=q placeholder=search><pre id=out></pre>"

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verishelf.functions.text import char_ngrams
+from verishelf.sources.tables import global_rank
 
 
 def terms(docs: DataFrame, doc: str, text: str, sizes: tuple[int, ...] = (4,)) -> DataFrame:
@@ -53,6 +54,23 @@ def class_scores(vecs: DataFrame, docs: DataFrame, cents: DataFrame, doc: str, l
     return every.join(dots, [doc, label], "left").select(doc, label, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def best_labels(vecs: DataFrame, docs: DataFrame, cents: DataFrame, doc: str, label: str) -> DataFrame:
+    """predict(class_scores(..)) without the rows of labels that a document shares no term with.
+
+    A document with fewer than two such labels gets the first of the others by name, with the score 0.
+    """
+    dots = vecs.join(cents.withColumnRenamed("weight", "w2"), "term").groupBy(doc, label).agg(F.sum(F.col("weight") * F.col("w2")).alias("score"))
+    one = F.struct((-F.round("score", 9)).alias("s"), F.col(label).alias("l"), F.col("score").alias("v"))
+    top = dots.groupBy(doc).agg(F.slice(F.array_sort(F.collect_list(one)), 1, 2).alias("_top"))
+    first = [r[0] for r in cents.select(label).distinct().orderBy(label).limit(3).collect()]
+    rest = F.filter(F.array(*map(F.lit, first)), lambda x: ~F.array_contains(F.transform("_top", lambda t: t["l"]), x))
+    filled = F.concat("_top", F.transform(rest, lambda x: F.struct(F.lit(0.0).alias("s"), x.alias("l"), F.lit(0.0).alias("v"))))
+    none = F.expr(f"cast(array() as {dict(top.dtypes)['_top']})")
+    df = docs.select(doc).join(top, doc, "left").withColumn("_top", F.coalesce("_top", none)).withColumn("_top", filled)
+    a, b = F.try_element_at("_top", F.lit(1)), F.try_element_at("_top", F.lit(2))
+    return df.select(doc, a["l"].alias(label), a["v"].alias("score"), b["l"].alias("runner_up"), (a["v"] - F.coalesce(b["v"], F.lit(0.0))).alias("gap"))
+
+
 def _distinct(cents: DataFrame, label: str, most: int = 10_000):
     names = [r[0] for r in cents.select(label).distinct().limit(most + 1).collect()]
     if len(names) > most:
@@ -111,20 +129,20 @@ def equal_buckets(rows: DataFrame, by: list, buckets: int) -> DataFrame:
     Ranks come from range partitions: rows are sorted within them and the partitions' counts
     added up, so no task sorts the whole table.
     """
-    from verishelf.sources.tables import global_rank
-
     ranked, n = global_rank(rows, by, "rank")
     return ranked.withColumn("bucket", F.expr(f"cast((rank * {buckets} - 1) div {max(1, n)} as int)")).drop("rank")
 
 
 def stratified_sample(rows: DataFrame, label: str, order: str, target: int, floor: int) -> DataFrame:
-    """target rows: first `floor` of each label, then in turns, larger labels first.
+    """target rows: first `floor` of each label, then in turns, larger labels first. Labels are few: their sizes are broadcast, over 100,000 raise.
 
     rows of a label are in `order`; labels in the order of falling size, then name.
     """
     n = F.count("*").over(Window.partitionBy(label))
     r = F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1
     sizes = rows.groupBy(label).agg(F.count("*").alias("_size"))
+    if sizes.limit(100_001).count() > 100_000:
+        raise ValueError("more than 100000 labels")
     place = sizes.withColumn("_place", F.row_number().over(Window.orderBy(F.desc("_size"), label))).select(label, "_place")  # one row a label
     ranked = rows.withColumns({"_n": n, "_r": r}).join(F.broadcast(place), label)
     early = F.col("_r") < floor

@@ -10,7 +10,7 @@ from verishelf.operators import calibrate, gold, match, reason, registry, runs
 from verishelf.operators import characteristics as C
 from verishelf.operators import textmodel as M
 from verishelf.plans.inputs import candidate_pairs, products, table
-from verishelf.plans.queries import _SCORED, SQL, _entities, _identity_idf, _with, query
+from verishelf.plans.queries import _SCORED, _TIERS, SQL, _entities, _identity_idf, _with, query
 from verishelf.sources.tables import cut
 
 # ---- text model -----------------------------------------------------------------------------
@@ -51,7 +51,7 @@ def centroid_predict(spark, d):
     docs = cut(_part_docs(spark, d))
     counted = cut(M.terms(docs, "doc", "text"))
     vecs = cut(M.vectors(counted, M.idf(M.document_frequencies(counted), docs.count()), "doc"))
-    out = M.predict(M.class_scores(vecs, docs, cut(M.centroids(vecs, docs, "doc", "label")), "doc", "label"), "doc", "label")
+    out = M.best_labels(vecs, docs, cut(M.centroids(vecs, docs, "doc", "label")), "doc", "label")
     return out.select("doc", "label", F.round("score", 6).alias("score"), "runner_up", F.round("gap", 6).alias("gap"))
 
 
@@ -79,9 +79,17 @@ def stratified_folds(spark, d):
 _PRED = "p AS (SELECT c_custkey, c_mktsegment AS truth, list_sort((SELECT list(DISTINCT c_mktsegment) FROM customer))[CAST((c_nationkey * c_nationkey + c_custkey) % 5 + 1 AS INTEGER)] AS pred, c_acctbal AS confidence FROM customer)"
 
 
+def _few(df: DataFrame, column: str, most: int) -> list[str]:
+    """The different values of a column in order; more than `most` raise."""
+    names = sorted(r[0] for r in df.select(column).distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return names
+
+
 def _predictions(spark, d) -> DataFrame:
     c = table(spark, d, "customer")
-    names = sorted(r[0] for r in c.select("c_mktsegment").distinct().limit(100).collect())
+    names = _few(c, "c_mktsegment", 100)
     k = ((F.col("c_nationkey").cast("long") * F.col("c_nationkey") + F.col("c_custkey")) % 5 + 1).cast("int")
     return c.select("c_custkey", F.col("c_mktsegment").alias("truth"), F.try_element_at(F.array(*map(F.lit, names)), k).alias("pred"), F.col("c_acctbal").alias("confidence"))
 
@@ -187,9 +195,17 @@ def abstention_curve(spark, d):
     return calibrate.abstention(_scored(spark, d)).withColumn("precision", F.round("precision", 9))
 
 
-@query()
+@query(
+    f"""WITH {_LABELLED}, f AS (SELECT score, correct, (dense_rank() OVER (ORDER BY doc_id) - 1) % 5 AS fold FROM l),
+    h AS (SELECT r.i AS part, score, count(*) AS n, CAST(sum(correct::INT) AS DOUBLE) AS y FROM f, range(5) AS r(i) WHERE fold <> r.i GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER w AS cn, sum(y) OVER w AS cy FROM h WINDOW w AS (PARTITION BY part ORDER BY score)),
+    m AS (SELECT k.part, k.score, i.score AS i, min((j.cy - i.cy + i.y) / (j.cn - i.cn + i.n)) AS low FROM c k JOIN c i ON i.part = k.part AND i.score <= k.score JOIN c j ON j.part = k.part AND j.score >= k.score GROUP BY 1, 2, 3),
+    v AS (SELECT part, score, max(low) AS value FROM m GROUP BY 1, 2), a AS (SELECT fold, correct, greatest(f.score, lowest) AS s FROM f JOIN (SELECT part, min(score) AS lowest FROM v GROUP BY 1) ON part = fold),
+    p AS (SELECT value AS p, correct FROM a ASOF JOIN v ON a.fold = v.part AND a.s >= v.score), b AS (SELECT least(floor(round(p, 9) * 10), 9) AS bin, count(*) AS n, avg(p) AS mean, avg(correct::INT) AS rate FROM p GROUP BY 1)
+    SELECT round(sum(abs(mean - rate) * n) / sum(n), 6) AS ece FROM b"""
+)
 def held_out_error(spark, d):
-    return calibrate.calibration_error(calibrate.reliability(calibrate.held_out(_labelled(spark, d), "doc_id", 5)))
+    judged = calibrate.held_out(_labelled(spark, d), "doc_id", 5)
+    return calibrate.calibration_error(calibrate.reliability(judged.withColumn("p", F.round("p", 9)))).withColumn("ece", F.round("ece", 6))
 
 
 @query(_SCORED + "SELECT row_uid, url, round(weighted, 6) AS score, be AS correct FROM r WHERE be IS NOT NULL")
@@ -229,7 +245,7 @@ _MODULES = "m AS (SELECT c_custkey, t[CAST(c_custkey % len(t) + 1 AS INTEGER)] A
 
 
 def _modules(spark, d) -> DataFrame:
-    names = sorted(r[0] for r in table(spark, d, "part").select("p_type").distinct().limit(1000).collect())
+    names = _few(table(spark, d, "part"), "p_type", 1000)
     pick = lambda c: F.try_element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int"))
     return table(spark, d, "customer").select(F.col("c_custkey").alias("row_uid"), pick("c_custkey").alias("truth"), pick("c_nationkey").alias("pred"))
 
@@ -278,7 +294,14 @@ def _chain(spark, d) -> DataFrame:
     )
 
 
-@query()
+@query(
+    _SCORED
+    + _TIERS
+    + """, best AS (SELECT row_uid, max(CASE WHEN position = 1 AND NOT rejected THEN url END) AS url, coalesce(max(CASE WHEN position = 1 AND NOT rejected THEN score END), 0) AS confidence,
+      coalesce(max(CASE WHEN position = 1 AND NOT rejected THEN score END) - coalesce(max(CASE WHEN position = 2 AND NOT rejected THEN score END), 0), 0) AS gap FROM r GROUP BY row_uid)
+    SELECT k.row_uid, t0.id IS NOT NULL OR t1.id IS NOT NULL AS hit, CASE WHEN t0.id IS NOT NULL THEN 'tier0_exact' WHEN t1.id IS NOT NULL THEN 'tier1_ann' END AS tier, coalesce(t0.id, t1.id) AS entity_id,
+      best.url, round(confidence, 6) AS confidence, round(gap, 6) AS gap, p_type AS module FROM keyed k LEFT JOIN t0 USING (row_uid) LEFT JOIN t1 USING (row_uid) LEFT JOIN best USING (row_uid) JOIN part ON p_partkey = row_index"""
+)
 def resolve_products(spark, d):
     """The flagship: identity, registry entity, winning page, score and lead of each record."""
     return _chain(spark, d).select("row_uid", "hit", "tier", "entity_id", "url", F.round("confidence", 6).alias("confidence"), F.round("gap", 6).alias("gap"), "module")

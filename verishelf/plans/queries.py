@@ -135,16 +135,18 @@ def _entities(rows: DataFrame) -> DataFrame:
     return first.select(F.col("fp_id").alias("entity_id"), F.array_compact(F.array("fp_id", "f.gtin_id")).alias("block_ids"), F.col("f.variant_terms").alias("variant_terms"))
 
 
-@query(
-    _with(
-        _VEC
-        + """, e AS (SELECT fp_id, arg_min(gtin_id, row_index) AS gtin_raw, min(row_index) AS i FROM keyed WHERE fp_id IS NOT NULL GROUP BY fp_id),
+_TIERS = _VEC + """, e AS (SELECT fp_id, arg_min(gtin_id, row_index) AS gtin_raw, min(row_index) AS i FROM keyed WHERE fp_id IS NOT NULL GROUP BY fp_id),
     e2 AS (SELECT e.fp_id, k.gtin_id, array_to_string(k.variant_terms, ' ') AS x FROM e JOIN keyed k ON k.row_index = e.i),
     t0 AS (SELECT k.row_uid, min(e2.fp_id) AS id FROM keyed k JOIN e2 ON k.gtin_id = e2.gtin_id GROUP BY 1),
     near AS (SELECT k.row_uid, k.fp_id AS id, array_to_string(k.variant_terms, ' ') AS a, e2.x AS b FROM keyed k JOIN e2 ON k.fp_id = e2.fp_id WHERE k.row_uid NOT IN (SELECT row_uid FROM t0) AND len(k.variant_terms) > 0 AND e2.x <> ''),
     cs AS (SELECT a, b, sum(v1.w * v2.w) AS c FROM (SELECT DISTINCT a, b FROM near) JOIN v v1 ON v1.x = a JOIN v v2 ON v2.x = b AND v1.g = v2.g GROUP BY 1, 2),
-    t1 AS (SELECT row_uid, id, c FROM near JOIN cs USING (a, b) WHERE round(c, 9) >= 0.75)
-    SELECT k.row_uid, t0.id IS NOT NULL OR t1.id IS NOT NULL AS hit, CASE WHEN t0.id IS NOT NULL THEN 'tier0_exact' WHEN t1.id IS NOT NULL THEN 'tier1_ann' END AS tier, coalesce(t0.id, t1.id) AS entity_id, round(CASE WHEN t0.id IS NULL THEN t1.c END, 6) AS similarity
+    t1 AS (SELECT row_uid, id, c FROM near JOIN cs USING (a, b) WHERE round(c, 9) >= 0.75)"""
+
+
+@query(
+    _with(
+        _TIERS
+        + """ SELECT k.row_uid, t0.id IS NOT NULL OR t1.id IS NOT NULL AS hit, CASE WHEN t0.id IS NOT NULL THEN 'tier0_exact' WHEN t1.id IS NOT NULL THEN 'tier1_ann' END AS tier, coalesce(t0.id, t1.id) AS entity_id, round(CASE WHEN t0.id IS NULL THEN t1.c END, 6) AS similarity
     FROM keyed k LEFT JOIN t0 USING (row_uid) LEFT JOIN t1 USING (row_uid)"""
     )
 )
@@ -361,7 +363,12 @@ def call_counters(spark, d):
     return runs.call_counters(table(spark, d, "events").select(F.col("event_type").alias("model"), F.col("event_id").alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"), (F.col("value") < 50).alias("from_cache")))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS at, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS k FROM events),
+    s AS (SELECT event_id, user_id AS engine, k, false AS open, CASE WHEN ok THEN 0 ELSE 1 END AS run, -1.0::DOUBLE AS until FROM e WHERE k = 1
+      UNION ALL SELECT e.event_id, e.user_id, e.k, e.at < s.until, CASE WHEN e.at < s.until THEN s.run WHEN e.ok OR s.run = 2 THEN 0 ELSE s.run + 1 END, CASE WHEN e.at >= s.until AND NOT e.ok AND s.run = 2 THEN e.at + 900 ELSE s.until END FROM s JOIN e ON e.user_id = s.engine AND e.k = s.k + 1)
+    SELECT event_id, engine, open FROM s"""
+)
 def breaker_timeline(spark, d):
     from verishelf.streaming.incremental import breaker_timeline as timeline
 
@@ -369,7 +376,7 @@ def breaker_timeline(spark, d):
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from verishelf.plans import evaluation  # noqa: F401  registers more
+    from verishelf.plans import checks, evaluation  # noqa: F401  register more
 
     return dict(Q)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verishelf.llm._common import cut, raw_bytes
+from verishelf.llm._common import cut, drawn, raw_bytes
 
 # Second-person words of English, German, French and Spanish.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -226,10 +226,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, trainable, *, max_rows: i
     counted in Spark; features are computed there too, and the driver gets N_FEATURES numbers a
     row. Two folds by hash: lexicon and trees of one fold judge the other's rows, and these
     held-out margins fit the calibration. Rows with null doc_id, label or other labels than 0
-    and 1 are left out; without both labels the score is the rate of label 1, 0 if there are none.
+    and 1 are left out, and so are documents with both labels; all rows of a labelled doc_id have its label.
+    Without both labels the score is the rate of label 1, 0 if there are none. The order of rows doesn't
+    matter: reruns give the same model.
     """
-    picked = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(trainable(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    picked = cut(picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int")))
+    picked = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(trainable(F.col("doc_id")))
+    picked = cut(picked.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most"))
+    some = drawn(picked, max_rows + 4 * math.isqrt(max_rows) + 16, "doc_id")  # and the limit sees no more than these
+    picked = cut(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("fold", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)).cast("int")))
     rows = cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y", "fold"))  # max_rows rows are broadcast
     sizes = {(r["y"], r["fold"]): r["count"] for r in rows.groupBy("y", "fold").count().collect()}
     n1, n0 = sum(v for (y, _), v in sizes.items() if y), sum(v for (y, _), v in sizes.items() if not y)
@@ -287,10 +291,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, keep: list[str] | N
     """The columns `keep` (all) of docs and toxicity: a score from 0 to 1 of the whole text.
 
     Null and empty texts are scored like others: they have no hits. Rows don't affect each other.
+    A kept column called toxicity makes way for the score; an empty table gives none.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "toxicity"]
     held = docs.sparkSession.sparkContext.broadcast(model)
-    ready = docs.select(*keep, F.col("text").alias("_toxicity_text"))
+    ready = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_toxicity_text"))
     kinds = {f.name: f for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -154,16 +154,28 @@ class Network:
         best = self.positions(windows, sizes).argmax(axis=1)
         return [self.labels[k] for i, n in enumerate(sizes) for k in best[:n, i]]
 
-    def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """The mean probabilities over all positions of each text; zeros for empty texts."""
+    def pooled(self, texts: list[bytes], slice_bytes: int = 1 << 20) -> np.ndarray:
+        """The mean probabilities over all positions of each text; zeros for empty texts.
+
+        Windows are made from slices of the texts, so that a very long text takes no more memory than its bytes.
+        """
         out = np.zeros((len(texts), len(self.labels)))
-        windows, sizes, owner = cut_windows(texts)
+        step = max(1, slice_bytes // WINDOW) * WINDOW
+        pieces = [(i, t[at : at + step]) for i, t in enumerate(texts) for at in range(0, len(t), step)]
         block = max(64, 8192 // len(self.labels))
-        order = np.argsort(-sizes, kind="stable")
-        for lo in range(0, len(order), block):
-            at = order[lo : lo + block]
-            sums = self.positions(windows[at, : sizes[at[0]]], sizes[at]).sum(axis=0, dtype=np.float64)
-            np.add.at(out, owner[at], sums.T)
+        lo = 0
+        while lo < len(pieces):
+            hi, size = lo, 0
+            while hi < len(pieces) and (hi == lo or size + len(pieces[hi][1]) <= step):
+                size += len(pieces[hi][1])
+                hi += 1
+            windows, sizes, owner = cut_windows([p for _, p in pieces[lo:hi]])
+            owner = np.array([i for i, _ in pieces[lo:hi]])[owner]
+            order = np.argsort(-sizes, kind="stable")
+            for at in (order[k : k + block] for k in range(0, len(order), block)):
+                sums = self.positions(windows[at, : sizes[at[0]]], sizes[at]).sum(axis=0, dtype=np.float64)
+                np.add.at(out, owner[at], sums.T)
+            lo = hi
         return out / np.maximum(1, [[len(t)] for t in texts])
 
 
@@ -197,8 +209,15 @@ def train_lang_id(docs: DataFrame, trainable: Column, *, hidden: int = 8, max_wi
         return Network.fresh([], hidden, seed)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, float(n))])
     place = lambda j: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(j), "text"), F.greatest(F.length("text") - width, F.lit(1))) + 1).cast("int"), width)
-    drawn = rows.select("lang", F.explode(F.array(place(0), place(1))).alias("piece")).distinct().withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "piece"), F.lit(1 << 40)) * share[F.col("lang")])
-    got = drawn.orderBy("turn", "piece", "lang").limit(max_windows).collect()
+    # how far turns go until there are four times as many windows: two a text, spread evenly up to the language's number of texts
+    reach, left = 0.0, 4.0 * max_windows + 64
+    for k, n in enumerate(sorted(counts.values())):
+        reach = left / (2 * (len(counts) - k))
+        if reach <= n:
+            break
+        left -= 2 * n
+    drawn = rows.select("lang", F.explode(F.array(place(0), place(1))).alias("piece")).withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), "piece"), F.lit(1 << 40)) * share[F.col("lang")])
+    got = drawn.where(F.col("turn") <= reach * (1 << 40)).distinct().orderBy("turn", "piece", "lang").limit(max_windows).collect()
     target = np.array([labels.index(r["lang"]) for r in got])
     windows = np.stack([np.frombuffer((r["piece"].encode() * width)[:width], dtype=np.uint8) for r in got])
     network = Network.fresh(labels, hidden, seed)
@@ -211,8 +230,9 @@ def identify_languages(docs: DataFrame, network: Network, *, keep: list[str]) ->
 
     score is the mean probability of lang_pred over all bytes. Null texts, texts without a
     letter, and all texts if the network has no labels, give "und" and 0. Rows don't affect
-    each other; an empty table gives none.
+    each other; an empty table gives none. Kept columns called lang_pred or score make way for the results.
     """
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
     held = docs.sparkSession.sparkContext.broadcast(network)
     ready = docs.select(*keep, F.col("text").alias("_lang_text"))
     kinds = dict(ready.dtypes)

@@ -136,9 +136,21 @@ def looks_garbled(c: Column) -> Column:
     return F.coalesce(c.rlike("^[\\x00-\\x{FF}]*$") & c.rlike("[\\x{C2}-\\x{F4}][\\x{80}-\\x{BF}]") & ~c.rlike("(?<![\\x{C2}-\\x{F4}\\x{80}-\\x{BF}])[\\x{80}-\\x{BF}]|[\\x{C2}-\\x{F4}](?![\\x{80}-\\x{BF}])"), F.lit(False))
 
 
-def repair_encoding(c: Column) -> Column:
-    """Mends the common case of garbled text; other texts stay."""
-    return F.when(looks_garbled(c), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(c)
+# The characters that Windows-1252 has at bytes 80 to 9F, and the control characters with these numbers.
+WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+CONTROLS = "".join(map(chr, (0x80, *range(0x82, 0x8D), 0x8E, *range(0x91, 0x9D), 0x9E, 0x9F)))
+
+
+def repair_encoding(c: Column, rounds: int = 2) -> Column:
+    """Mends UTF-8 that was read as Latin-1 or Windows-1252, up to `rounds` times over; other texts stay."""
+
+    def once(x: Column) -> Column:
+        raw = F.translate(x, WINDOWS, CONTROLS)
+        return F.when(looks_garbled(raw), F.decode(F.encode(F.when(looks_garbled(raw), raw), "ISO-8859-1"), "UTF-8")).otherwise(x)
+
+    for _ in range(rounds):
+        c = let(c, once)
+    return c
 
 
 # ---- descriptions ---------------------------------------------------------------------------

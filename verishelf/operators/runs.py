@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verishelf.functions import urls as U
@@ -94,12 +95,42 @@ def cards(stages: dict[str, DataFrame]) -> DataFrame:
     return out.select("row_uid", F.to_json(F.struct(*stages)).alias("card"))
 
 
+def card_text(fields: dict[str, Column]) -> Column:
+    """Fields as lines of text; those without a value are left out."""
+    return F.concat_ws("\n", *[F.when(c.isNotNull() & (c.cast("string") != ""), F.concat(F.lit(f"{name}: "), c.cast("string"))) for name, c in fields.items()])
+
+
+def card_html(fields: dict[str, Column], links: tuple[str, ...] = ()) -> Column:
+    """Fields as a definition list; values are escaped, those of `links` are links if they are web addresses."""
+
+    def one(name: str, c: Column) -> Column:
+        value = c.cast("string")
+        for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            value = F.replace(value, F.lit(old), F.lit(new))
+        if name in links:
+            value = F.when(value.rlike("^https?://"), F.concat(F.lit('<a rel="noopener" href="'), value, F.lit('">'), value, F.lit("</a>"))).otherwise(value)
+        return F.when(value != "", F.concat(F.lit(f"<dt>{html.escape(name)}</dt><dd>"), value, F.lit("</dd>")))
+
+    return F.concat(F.lit("<dl>"), F.concat_ws("", *[one(n, c) for n, c in fields.items()]), F.lit("</dl>"))
+
+
+def filter_rows(rows: DataFrame, text: str = "", search_in: tuple[str, ...] = (), **facets: str | None) -> DataFrame:
+    """rows that hold all words of a text, in any case, in one of the columns, and have the facets' values."""
+    place = F.lower(F.concat_ws("\n", *[F.col(c).cast("string") for c in search_in]))
+    for word in text.lower().split():
+        rows = rows.where(F.contains(place, F.lit(word)))
+    for column, value in facets.items():
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows
+
+
 def explorer_page(card_table: DataFrame, title: str, most: int = 5_000) -> str:
     """A page of cards, with a search box, that needs no other file. More than `most` raise: a page is for a person."""
     rows = [json.loads(r["card"]) | {"row_uid": r["row_uid"]} for r in card_table.orderBy("row_uid").limit(most + 1).collect()]
     if len(rows) > most:
         raise ValueError(f"more than {most} cards")
     data = json.dumps(rows, ensure_ascii=False).replace("</", "<\\/")
+    title = html.escape(title)
     return (
         f"<!doctype html><meta charset=utf-8><title>{title}</title><h1>{title}</h1><input id=q placeholder=search><pre id=out></pre>"
         f"<script>const rows={data};const show=()=>{{const q=document.getElementById('q').value.toLowerCase();"

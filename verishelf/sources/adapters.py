@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import time
@@ -122,37 +123,95 @@ def fetch(urls: DataFrame, get: Callable[[str], Answer], *, resolve: Callable[[s
     return ready.mapInPandas(run, "url string, status string, http_status int, html string, final_url string")
 
 
-def search(queries: DataFrame, find: Callable[[str, int], list[tuple[str, str]]], *, limit: int = 8, pause: float = 2.0, retries: int = 3, sleep: Callable[[float], None] = time.sleep, partitions: int = 1) -> DataFrame:
-    """text, rank, url, title, failed: answers of an injected search, each distinct text asked once.
-
-    A search backend is shared, so its load is set by the number of partitions. A search that
-    fails every time gives one row with failed set.
+class Rotation:
+    """Engines in turn. An engine with `failures` failures in a row rests for `cooldown` seconds."""
+
+    def __init__(self, engines: tuple[str, ...], failures: int = 3, cooldown: float = 900.0):
+        if not engines:
+            raise ValueError("no engine")
+        self.engines, self.failures, self.cooldown = engines, failures, cooldown
+        self.turn, self.row, self.until = 0, dict.fromkeys(engines, 0), dict.fromkeys(engines, float("-inf"))
+
+    def next(self, now: float) -> tuple[str, float]:
+        """The engine whose turn it is, of those that don't rest, and the wait until it may be asked."""
+        n = len(self.engines)
+        turns = [self.engines[(self.turn + k) % n] for k in range(n)]
+        ready = [e for e in turns if self.until[e] <= now]
+        engine = ready[0] if ready else min(turns, key=lambda e: self.until[e])
+        self.turn = (self.engines.index(engine) + 1) % n
+        return engine, max(0.0, self.until[engine] - now)
+
+    def record(self, engine: str, ok: bool, now: float) -> None:
+        self.row[engine] = 0 if ok else self.row[engine] + 1
+        if self.row[engine] >= self.failures:
+            self.row[engine], self.until[engine] = 0, now + self.cooldown
+
+
+def search(
+    queries: DataFrame,
+    find: Callable[[str, int, str], list[tuple[str, str]]],
+    *,
+    engines: tuple[str, ...] = ("default",),
+    cache: DataFrame | None = None,
+    max_calls: int | None = None,
+    limit: int = 8,
+    pause: float = 2.0,
+    retries: int = 3,
+    failures: int = 3,
+    cooldown: float = 900.0,
+    longest_wait: float = 900.0,
+    sleep: Callable[[float], None] = time.sleep,
+    clock: Callable[[], float] = time.monotonic,
+    partitions: int = 1,
+) -> DataFrame:
+    """text, rank, url, title, engine, failed: answers of an injected search (text, limit, engine), each distinct text asked once.
+
+    cache: rows of the same columns; its answers are taken first, whichever engine gave them, but for failed ones.
+    max_calls: more searches (with their retries) than that raise before the first. Engines take turns,
+    and one that keeps failing rests (Rotation); if all rest, the search waits, or fails beyond longest_wait. A search backend is
+    shared, so its load is set by the number of partitions, which each have a rotation of their own. A
+    search that fails every time gives one row with failed set.
     """
-    asked = queries.select("text").distinct().repartition(partitions)
+    asked = queries.select("text").distinct()
+    known = None if cache is None else cache.where(~F.col("failed")).join(asked, "text", "left_semi").select("text", "rank", "url", "title", "engine", "failed")
+    misses = asked if known is None else asked.join(known.select("text").distinct(), "text", "left_anti")
+    if max_calls is not None and (n := misses.count()) * retries > max_calls:
+        raise ValueError(f"{n} searches may take more than {max_calls} calls")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turns = Rotation(engines, failures, cooldown)
         for f in frames:
             rows = []
             for text in f["text"]:
                 for k in range(retries):
+                    engine, wait = turns.next(clock())
+                    if wait > longest_wait:
+                        rows.append((text, None, None, None, None, True))
+                        break
+                    if wait:
+                        sleep(wait)
                     try:
-                        found = find(text, limit)[:limit]
-                        rows += [(text, i + 1, url, title, False) for i, (url, title) in enumerate(found)]
+                        found = find(text, limit, engine)[:limit]
+                        turns.record(engine, True, clock())
+                        rows += [(text, i + 1, url, title, engine, False) for i, (url, title) in enumerate(found)]
                         break
                     except Exception:  # whatever a backend raises is a failed search
+                        turns.record(engine, False, clock())
                         sleep(random.uniform(0, 2**k))
                 else:
-                    rows.append((text, None, None, None, True))
+                    rows.append((text, None, None, None, None, True))
                 sleep(pause)
-            yield pd.DataFrame(rows, columns=["text", "rank", "url", "title", "failed"]).astype({"rank": "Int32", "failed": bool})
+            yield pd.DataFrame(rows, columns=["text", "rank", "url", "title", "engine", "failed"]).astype({"rank": "Int32", "failed": bool})
 
-    return asked.mapInPandas(run, "text string, rank int, url string, title string, failed boolean")
+    fresh = misses.repartition(partitions).mapInPandas(run, "text string, rank int, url string, title string, engine string, failed boolean")
+    return fresh if known is None else fresh.unionByName(known.withColumn("rank", F.col("rank").cast("int")))
 
 
-def images(urls: DataFrame, get: Callable[[str], tuple[str, bytes]], *, kinds: tuple[str, ...] = ("image/jpeg", "image/png", "image/webp"), most_bytes: int = 8 << 20) -> DataFrame:
-    """url, status, media_type, sha256, data: images of allowed kinds and sizes by an injected getter."""
-    import hashlib
+def images(urls: DataFrame, get: Callable[[str], tuple[str, Iterable[bytes]]], *, kinds: tuple[str, ...] = ("image/jpeg", "image/png", "image/webp"), most_bytes: int = 8 << 20) -> DataFrame:
+    """url, status, media_type, sha256, data: images of allowed kinds and sizes by an injected getter.
 
+    The getter gives the kind and the data in pieces; pieces beyond most_bytes, and of other kinds, aren't read.
+    """
     ready = urls.select("url", U.safe(F.col("url")).alias("ok"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +219,13 @@ def images(urls: DataFrame, get: Callable[[str], tuple[str, bytes]], *, kinds: t
             rows = []
             for url, ok in zip(f["url"], f["ok"], strict=True):
                 try:
-                    kind, data = get(url) if ok else ("", b"")
+                    kind, pieces = get(url) if ok else ("", ())
+                    data = bytearray()
+                    for piece in pieces if kind in kinds else ():
+                        data += piece
+                        if len(data) > most_bytes:
+                            break
+                    data = bytes(data)
                     status = "blocked" if not ok else "bad_type" if kind not in kinds else "too_large" if len(data) > most_bytes else "ok"
                 except Exception:  # whatever a getter raises is a failed fetch
                     kind, data, status = "", b"", "timeout"

@@ -8,7 +8,9 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from verishelf.sources import workbook
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -17,11 +19,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A sheet as text columns, through the driver: workbooks are small. Needs an Excel reader."""
-    import pandas as pd
-
-    frame = pd.read_excel(path, sheet_name=sheet, dtype=str)
-    return spark.createDataFrame(frame.where(frame.notna(), None))
+    """A sheet as text columns, its first row the header. Workbooks are small: one goes through the driver, its
+    bytes through Spark, so that any file system works."""
+    row = spark.read.format("binaryFile").load(path).select("content").first()
+    rows = workbook.read_sheet(bytes(row["content"]), sheet)
+    names = [n or "" for n in rows[0]] if rows else []
+    if not names or len(set(names)) < len(names) or "" in names:
+        raise ValueError("the sheet's first row must name each column once")
+    cells = [(*r[: len(names)], *[None] * (len(names) - len(r))) for r in rows[1:]]
+    return spark.createDataFrame(cells, StructType([StructField(n, StringType()) for n in names]))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -38,9 +44,26 @@ def write_csv(df: DataFrame, path: str, order: str, columns: tuple[str, ...]) ->
     df.orderBy(order).select(*columns).coalesce(1).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", lineSep="\n")
 
 
+def xlsx_bytes(df: DataFrame, order: str, columns: tuple[str, ...], most: int = 1_000_000) -> bytes:
+    """A workbook of one sheet of text cells in row order: the same rows give the same bytes.
+
+    It is made on the driver; more than `most` rows, which no sheet holds, raise.
+    """
+    rows = df.orderBy(order).select(*[F.col(c).cast("string") for c in columns]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return workbook.write_sheet([list(columns), *map(list, rows)])
+
+
 def write_xlsx(df: DataFrame, path: str, order: str, columns: tuple[str, ...]) -> None:
-    """A workbook through the driver. Needs an Excel writer."""
-    df.orderBy(order).select(*columns).toPandas().to_excel(path, index=False)
+    """xlsx_bytes as a file of the driver."""
+    with open(path, "wb") as f:
+        f.write(xlsx_bytes(df, order, columns))
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order, for trial runs."""
+    return df.orderBy(*order).limit(n)
 
 
 def check_schema(df: DataFrame, columns: list[str], not_null: list[str], rows: int | None = None) -> list[str]:
@@ -81,6 +104,12 @@ def cached(requests: DataFrame, cache: DataFrame, key: str, now: Column, ttl: Co
     return out.withColumn("fresh", F.coalesce(now - F.col("fetched_at") <= ttl, F.lit(False)))
 
 
+def packed_cache(cache: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """The newest entry of each key in use: what a cache must hold to run the same requests offline."""
+    newest = cache.groupBy(key).agg(F.max_by(F.struct(*[c for c in cache.columns if c != key]), "fetched_at").alias("_e")).select(key, "_e.*")
+    return newest.join(used.select(key).distinct(), key, "left_semi")
+
+
 def completed(artifacts: DataFrame, stages: tuple[str, ...]) -> DataFrame:
     """row_uid of the rows that have a payload of every stage."""
     own = artifacts.where(F.col("stage").isin(*stages) & (F.coalesce(F.length("payload"), F.lit(0)) > 0))

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import types as T
 
-from verishelf.llm.embed_dedup import embedding_classes, linked_pairs, principal_axes
+from verishelf.llm.embed_dedup import Blocks, box_of, embedding_classes, linked_pairs, principal_axes, split_boxes
 
 
 def test_tiles_find_all_pairs():
@@ -44,8 +44,8 @@ def test_classes(spark):
         for k in own:
             root[k] = min(ids[o] for o in own)
     want = sorted((ids[i], len(links[i]), root[i], ids[i] == root[i]) for i in range(len(vecs)))
-    for block in (8192, 37):
-        assert sorted(map(tuple, embedding_classes(df, block=block).collect())) == want
+    for options in ({}, {"block": 37}, {"block": 5, "lead": 3}, {"block": 9, "max_axes": 4, "sample": 1}, {"block": 5, "max_blocks": 2}):
+        assert sorted(map(tuple, embedding_classes(df, **options).collect())) == want
     assert embedding_classes(df.limit(0)).count() == 0
 
 
@@ -53,3 +53,21 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 2.0]), (4, [1.0, 2.0]), (4, [1.0, 2.0]), (5, [1.0, -2.0])], "vec_id long, embedding array<double>")
     got = sorted(map(str, (tuple(r) for r in embedding_classes(df).collect())))
     assert got == sorted(map(str, [(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (5, 0, 5, True)]))
+
+
+def test_boxes_out_of_reach_get_nothing():
+    rng = np.random.default_rng(5)
+    centres = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    x = np.repeat(centres, 50, axis=0) + rng.normal(size=(800, 16)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    axes = principal_axes(x)
+    z = x @ axes
+    nodes = split_boxes(z[:, :12], 4)
+    box = box_of(nodes, z)
+    tail = np.sqrt(np.maximum(0, (z[:, 12:] ** 2).sum(axis=1)))
+    part = lambda f, v: np.array([f(v[box == k], axis=0) if (box == k).any() else np.full(v.shape[1:], -np.inf) for k in range(16)])
+    blocks = Blocks(axes, nodes, 12, part(np.min, z[:, :12]), part(np.max, z[:, :12]), part(np.max, tail))
+    sent = {k: set(at.tolist()) for k, at in blocks.reached(z, 0.9)}
+    for i, j in zip(*np.nonzero(x @ x.T >= 0.9)):
+        assert i in sent[box[j]] and j in sent[box[i]]
+    assert sum(map(len, sent.values())) < 5 * len(x)

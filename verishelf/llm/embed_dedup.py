@@ -5,19 +5,21 @@ which are ordered by energy; any rotation keeps cosines, so the axes come from a
 A tile of pairs sums the products of the leading axes first. What the rest can add is at most
 the product of the two suffix norms; pairs that can't reach the threshold are dropped, and a
 tile stops when none is left. Survivors are verified in double precision on the input vectors.
+Blocks are boxes in the leading axes; a vector is sent to those only that its bound can reach.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verishelf.llm._common import components, cut
+from verishelf.llm._common import components, cut, drawn, lookup, numbering
 from verishelf.llm.simhash import Links
 
 #: Slack of the bound in single precision, far over its rounding error.
@@ -30,6 +32,53 @@ def principal_axes(sample: np.ndarray) -> np.ndarray:
     return np.linalg.eigh(unit.T @ unit)[1][:, ::-1]
 
 
+def split_boxes(z: np.ndarray, depth: int) -> list[tuple[int, float]]:
+    """Splits (axis, median) in heap order: each of the axis along which the sample's part varies most."""
+    nodes: list[tuple[int, float]] = [(0, 0.0)] * (2**depth - 1)
+    parts = {0: z}
+    for i in range(len(nodes)):
+        part = parts.pop(i)
+        if len(part):
+            k = int(part.var(axis=0).argmax())
+            nodes[i] = (k, float(np.median(part[:, k])))
+        k, at = nodes[i]
+        parts[2 * i + 1], parts[2 * i + 2] = part[part[:, k] <= at], part[part[:, k] > at]
+    return nodes
+
+
+def box_of(nodes: list[tuple[int, float]], z: np.ndarray) -> np.ndarray:
+    """The number of the box of each row."""
+    at = np.zeros(len(z), dtype=np.int64)
+    axis, cutoff = np.array([n[0] for n in nodes], dtype=np.int64), np.array([n[1] for n in nodes])
+    for _ in range((len(nodes) + 1).bit_length() - 1):
+        at = 2 * at + 1 + (z[np.arange(len(z)), axis[at]] > cutoff[at])
+    return at - len(nodes)
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Of the vectors of one length: axes (None: as they are), splits, and per box the reach of its vectors."""
+
+    axes: np.ndarray | None
+    nodes: list[tuple[int, float]]
+    lead: int
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+    tail: np.ndarray | None = None
+
+    def turn(self, x: np.ndarray) -> np.ndarray:
+        return x if self.axes is None else x @ self.axes
+
+    def reached(self, z: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """For each box, the rows of z that may have a cosine of threshold with one of its vectors."""
+        lead = z[:, : self.lead]
+        tail = np.sqrt(np.maximum(0, (z[:, self.lead :] ** 2).sum(axis=1)))
+        for k in range(len(self.tail)):
+            if np.isfinite(self.tail[k]):
+                most = np.maximum(lead * self.low[k], lead * self.high[k]).sum(axis=1) + tail * self.tail[k]
+                yield k, np.flatnonzero(most >= threshold - EPS)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     """Vectors of length one; scaled by their largest part first, so that nothing over- or underflows."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -80,7 +129,7 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, za: np.ndarray, zb: np.ndarray, t
                     yield r[ok], c[ok]
 
 
-def embedding_classes(vectors: DataFrame, *, threshold: float = 0.9, block: int = 8192, sample: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def embedding_classes(vectors: DataFrame, *, threshold: float = 0.9, block: int = 8192, max_blocks: int = 1 << 14, lead: int = 16, sample: int = 4096, max_axes: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row of vectors: id_col, n_links, component_id, kept.
 
     Rows link if the cosine of their vectors is at least the threshold. n_links counts the other
@@ -90,10 +139,15 @@ def embedding_classes(vectors: DataFrame, *, threshold: float = 0.9, block: int
     Equal vectors are folded and counted before any comparison. Other columns don't matter; an
     empty table gives none.
 
-    The folded vectors are dealt to blocks by a hash. Each pair of blocks is one task's work; it
-    returns, for vectors with links, their number and a spanning forest, never the pairs. Work
-    is quadratic in the distinct vectors, as for any exact comparison; shuffled bytes grow with
-    vectors times blocks.
+    The folded vectors are dealt to boxes by their leading axes, of about `block` vectors, or more where
+    they would be more than max_blocks. A vector goes to those other boxes only whose intervals and suffix
+    norms leave it a cosine of the threshold. Each pair of boxes is one task's work; it
+    returns, for vectors with links, their number and a spanning forest, never the pairs. Work and shuffled bytes
+    are quadratic in the distinct vectors where no box can be ruled out (vectors without any structure), as
+    for any exact comparison.
+
+    Axes come from about `sample` vectors of each of the 64 most frequent lengths up to max_axes, boxes from
+    those of 1,024 lengths, so the driver's part is bounded; other lengths are compared along the axes as they are, in one box.
     """
     rows = vectors.select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("v"))
     kind = dict(rows.dtypes)[id_col]
@@ -107,36 +161,62 @@ def embedding_classes(vectors: DataFrame, *, threshold: float = 0.9, block: int
                 keys.append(None if x is None or not np.isfinite(x).all() or not x.any() else np.ascontiguousarray(x, dtype="<f8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], names=[id_col, "v"])
 
-    rows = rows.mapInArrow(check, f"{id_col} {kind}, v binary")
-    rows = cut(rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v"))))
-    classes = cut(rows.where("node is not null").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("m"), F.min(id_col).alias("low")).withColumn("d", (F.length("v") / 8).cast("int")))
-    blocks, axes = {}, {}
-    for r in classes.groupBy("d").count().collect():
-        d = r["d"]
-        blocks[d] = math.ceil(r["count"] / block)
-        picked = classes.where(F.col("d") == d).orderBy(F.xxhash64("node")).limit(min(sample, (1 << 23) // d + 1)).select("v").collect()
-        axes[d] = principal_axes(_unit(np.stack([np.frombuffer(p["v"], dtype="<f8") for p in picked])))
-    turned = rows.sparkSession.sparkContext.broadcast(axes)
+    rows = cut(rows.mapInArrow(check, f"`{id_col}` {kind}, v binary"))
+    classes = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("m"), F.min(id_col).alias("low"))
+    classes = cut(classes.withColumn("d", (F.length("v") / 8).cast("int")))
+    node = F.xxhash64(F.lit(numbering(classes, "v")), "v")
+    classes = classes.withColumn("node", node)
+    frequent = classes.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1024).collect()
+    plans: dict[int, Blocks] = {}
+    for r in frequent:
+        d, n = r["d"], r["n"]
+        depth = min(max_blocks, math.ceil(n / block)) - 1
+        depth = depth.bit_length()
+        if not depth and (d > max_axes or len(plans) >= 64):
+            continue
+        picked = drawn(classes.where(F.col("d") == d), min(max(sample, 16 << depth), (1 << 23) // d + 1, max(64, (1 << 19) // len(frequent))), "node", n=n).select("v").orderBy("v").toArrow()
+        x = _unit(np.frombuffer(b"".join(picked.column("v").to_pylist()), dtype="<f8").reshape(-1, d)) if picked.num_rows else np.zeros((0, d))
+        axes = principal_axes(x) if len(x) and d <= max_axes and len(plans) < 64 else None
+        z = x if axes is None else x @ axes
+        plans[d] = Blocks(axes, split_boxes(z[:, : min(lead, d)], depth), min(lead, d))
+    context = rows.sparkSession.sparkContext
+    if any(p.nodes for p in plans.values()):
+        first = context.broadcast(plans)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for d, at, z, plan in _turned(batches, first.value):
+                if plan.nodes:
+                    box = box_of(plan.nodes, z)
+                    for k in np.unique(box).tolist():
+                        own = z[box == k]
+                        tail = np.sqrt(np.maximum(0, (own[:, plan.lead :] ** 2).sum(axis=1)))[:, None]
+                        own = np.concatenate([own[:, : plan.lead], tail], axis=1)
+                        axis = np.arange(own.shape[1])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(axis), d, dtype=np.int32)), pa.array(np.full(len(axis), k)), pa.array(axis), pa.array(own.min(axis=0)), pa.array(own.max(axis=0))], names=["d", "box", "axis", "low", "high"])
+
+        reach = classes.select("d", "v", "node", "m").mapInArrow(measure, "d int, box long, axis long, low double, high double").groupBy("d", "box", "axis").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        low = {d: np.full((len(p.nodes) + 1, p.lead + 1), np.inf) for d, p in plans.items() if p.nodes}
+        high = {d: np.full((len(p.nodes) + 1, p.lead + 1), -np.inf) for d, p in plans.items() if p.nodes}
+        got = reach.toArrow()
+        for d, box, axis, a, b in zip(*(got.column(c).to_pylist() for c in ("d", "box", "axis", "low", "high")), strict=True):
+            low[d][box, axis], high[d][box, axis] = a, b
+        plans = {d: Blocks(p.axes, p.nodes, p.lead, low[d][:, :-1], high[d][:, :-1], high[d][:, -1]) if p.nodes else p for d, p in plans.items()}
+    held = context.broadcast(plans)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, d = batch.column("node").to_numpy(), batch.column("d").to_numpy()
-            count = np.array([blocks[x] for x in d.tolist()], dtype=np.int64)
-            own = (node.view(np.uint64) >> np.uint64(7)).astype(np.int64) % count
-            for other in range(int(count.max(initial=0))):
-                at = np.flatnonzero(other < count)
-                lo, hi = np.minimum(own[at], other), np.maximum(own[at], other)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("d").take(take), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(own[at] == lo), *(batch.column(c).take(take) for c in ("node", "m", "v"))],
-                    names=["d", "lo", "hi", "first", "node", "m", "v"],
-                )
+        names = ["d", "lo", "hi", "first", "node", "m", "v"]
+        for d, batch, z, plan in _turned(batches, held.value):
+            own = box_of(plan.nodes, z) if plan.nodes else np.zeros(len(z), dtype=np.int64)
+            for other, at in plan.reached(z, threshold) if plan.nodes else [(0, np.arange(len(z)))]:
+                at = np.union1d(at, np.flatnonzero(own == other))
+                lo, hi, take = np.minimum(own[at], other), np.maximum(own[at], other), pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column("d").take(take), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(own[at] == lo), *(batch.column(c).take(take) for c in ("node", "m", "v"))], names=names)
 
     def compare(table: pa.Table) -> pa.Table:
         d, same = table.column("d")[0].as_py(), table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
         node, m, first = (table.column(c).to_numpy() for c in ("node", "m", "first"))
         x = _unit(np.frombuffer(b"".join(table.column("v").to_pylist()), dtype="<f8").reshape(-1, d))
-        z = (x @ turned.value[d]).astype(np.float32)
+        z = (held.value[d].turn(x) if d in held.value else x).astype(np.float32)
         a = np.flatnonzero(first)
         b = a if same else np.flatnonzero(~first)
         found, links = np.zeros(len(node), dtype=np.int64), Links(len(node))
@@ -152,16 +232,19 @@ def embedding_classes(vectors: DataFrame, *, threshold: float = 0.9, block: int
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = classes.select("node", "m", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lows = labelled.groupBy("root").agg(F.min("low").alias("lowest"))
-    facts = labelled.join(lows, "root").join(sums, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), "lowest")
-    some = F.col("node").isNotNull()
-    return (
-        rows.select(id_col, "node")
-        .join(facts, "node", "left")
-        .select(
-            id_col,
-            F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-            F.when(some, F.col("lowest")).otherwise(F.col(id_col)).alias("component_id"),
-        )
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
-    )
+    lows = labelled.groupBy("root").agg(F.min("low").alias("lowest"), F.count("*").alias("k"))
+    facts = lookup(labelled, lows, "root", "k").join(sums, "node", "left").select("node", "m", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).cast("long").alias("n_links"), F.col("lowest").alias("component_id"))
+    linked = lookup(rows.where("v is not null").select(id_col, node.alias("node")), cut(facts), "node", "m")
+    alone = rows.where("v is null").select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
+    return linked.select(id_col, "n_links", "component_id").unionByName(alone).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def _turned(batches: Iterator[pa.RecordBatch], plans: dict[int, Blocks]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, Blocks]]:
+    """The rows of one length of each batch, with their unit vectors along the axes, and the length's plan."""
+    for batch in batches:
+        lengths = batch.column("d").to_numpy()
+        for d in np.unique(lengths).tolist():
+            part = batch.take(pa.array(np.flatnonzero(lengths == d)))
+            plan = plans.get(d) or Blocks(None, [], d)
+            x = _unit(np.frombuffer(b"".join(part.column("v").to_pylist()), dtype="<f8").reshape(-1, d)) if plan.nodes else np.zeros((part.num_rows, 0))
+            yield d, part, plan.turn(x) if plan.nodes else x, plan

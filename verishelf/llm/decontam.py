@@ -21,17 +21,26 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of a block of benchmark items: word ids, window hashes and exact keys."""
+    """The windows of a block of benchmark items, 16 bytes each: sorted hashes, places in the items' word ids, items."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], n: int):
         self.ids: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
-            m = min(n, len(ids))
-            for i in range(len(ids) - m + 1 if m else 0):
-                self.items.setdefault(tuple(ids[i : i + m]), set()).add(item)
-        self.hashes = {m: np.unique(np.array([self._hash(np.array([k], dtype=np.uint64), m)[0] for k in self.items if len(k) == m], dtype=np.uint64)) for m in {len(k) for k in self.items}}
+        self.names = [item for item, _ in items]
+        words = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)], dtype=np.uint32) for _, text in items]
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        begin = np.cumsum(size) - size
+        self.flat = np.concatenate([np.zeros(0, dtype=np.uint32), *words])
+        owner = np.repeat(np.arange(len(items), dtype=np.int32), size)
+        room = np.repeat(begin + size, size) - np.arange(len(self.flat))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for m in range(1, n + 1):
+            at = np.flatnonzero(room >= m) if m == n else begin[size == m]
+            if m == n:
+                at = at[size[owner[at]] >= n]
+            if len(at):
+                h = np.concatenate([self._hash(self.flat[some[:, None] + np.arange(m)].astype(np.uint64), m) for some in np.array_split(at, len(at) // 65536 + 1)])
+                order = np.argsort(h, kind="stable")
+                self.tables[m] = h[order], at[order], owner[at[order]]
 
     @staticmethod
     def _hash(at: np.ndarray, m: int) -> np.ndarray:
@@ -48,7 +57,7 @@ class Windows:
         ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         mark, hit = np.zeros(len(words) + 1, dtype=np.int64), set()
-        for m, table in self.hashes.items():
+        for m, (hashes, places, owner) in self.tables.items():
             if len(words) < m:
                 continue
             at = np.flatnonzero(known[m:] - known[:-m] == m)
@@ -56,16 +65,17 @@ class Windows:
                 some = at[lo : lo + 65536]
                 rows = ids[some[:, None] + np.arange(m)]
                 h = self._hash(rows, m)
-                near = np.flatnonzero(table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h)
-                for i in near.tolist():
-                    found = self.items.get(tuple(rows[i].tolist()))
-                    if found:
+                first = np.searchsorted(hashes, h)
+                for i in np.flatnonzero(hashes[np.minimum(first, len(hashes) - 1)] == h).tolist():
+                    same = slice(first[i], np.searchsorted(hashes, h[i], side="right"))
+                    equal = (self.flat[places[same][:, None] + np.arange(m)] == rows[i]).all(axis=1)
+                    if equal.any():
                         mark[some[i]] += 1
                         mark[some[i] + m] -= 1
-                        hit |= found
+                        hit.update(np.unique(owner[same][equal]).tolist())
         on = np.concatenate([[0], (np.cumsum(mark)[:-1] > 0).astype(np.int8), [0]])
         edge = np.diff(on)
-        return len(words), list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)), hit
+        return len(words), list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)), {self.names[k] for k in hit}
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -95,9 +105,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, ma
     read "null". Repeated rows and items are kept and reported alike; an empty benchmark hits
     nothing.
 
-    The set is broadcast with the scan. Its size is checked: a benchmark of more characters
+    The set is broadcast with the scan. Its size is checked: a benchmark of more bytes
     than max_block_chars is cut into blocks by a hash of the item id, each is broadcast in turn
-    and the hits are merged, so the worker never holds more than a block.
+    and the hits are merged, so the worker never holds more than a block: about 5 bytes for each of
+    its bytes, and its different words.
     """
     b = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("t")).where("t is not null")
     total = b.agg(F.sum(F.length("t"))).first()[0] or 0

@@ -90,3 +90,10 @@ def test_contamination_in_one_block_and_in_many(spark):
             want = _contamination(texts[r["doc_id"]], items)
             assert (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) == want
     assert all(not r["items"] for r in find_contamination(docs, bench.limit(0)).collect())
+
+
+def test_empty_tables_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "password = hunter2hunter2", "x")], "`doc id` long, text string, secrets string")
+    assert [r["secrets"][0]["kind"] for r in scan_secrets(docs, id_col="doc id").collect()] == ["assign"]
+    assert redact_secrets(docs).first()["secrets"] == "x"
+    assert scan_secrets(docs.limit(0), id_col="doc id").count() == 0 and redact_secrets(docs.limit(0)).columns == docs.columns and redact_secrets(docs.limit(0)).count() == 0

@@ -105,7 +105,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
             got = [[{"start": s, "end": e, "kind": k} for s, e, k in find_secrets(t)] if t else [] for t in raw_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, _SPAN)], names=[id_col, "secrets"])
 
-    return kept.mapInArrow(scan, f"{id_col} {dict(kept.dtypes)[id_col]}, secrets array<struct<start:long,end:long,kind:string>>")
+    return kept.mapInArrow(scan, f"`{id_col}` {dict(kept.dtypes)[id_col]}, secrets array<struct<start:long,end:long,kind:string>>")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,10 @@ def breaker_timeline(events: DataFrame, failures: int = 3, cooldown: float = 900
 
     events: event_id, engine, at (seconds), ok. `failures` failures in a row open the breaker for
     `cooldown` seconds, during which events are blocked and don't count; a success resets it. The
-    state is two numbers, streamed over an engine's events in order: a task holds a batch.
+    state is two numbers, streamed over an engine's events in order: a task holds a batch. Windows can't
+    say it: where a breaker opens depends on which failures before were blocked, and so on where it opened
+    before; each event needs the state that the one before left. An engine is one task; engines are few and their events
+    numbers, so a hot one costs time and no memory.
     """
     ready = events.select("event_id", "engine", F.col("at").cast("double").alias("at"), "ok").repartition("engine").sortWithinPartitions("engine", "at", "event_id")
     kinds = dict(ready.dtypes)

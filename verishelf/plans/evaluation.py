@@ -307,7 +307,31 @@ def resolve_products(spark, d):
     return _chain(spark, d).select("row_uid", "hit", "tier", "entity_id", "url", F.round("confidence", 6).alias("confidence"), F.round("gap", 6).alias("gap"), "module")
 
 
-@query()
+_TWO = "CAST(round(CAST(CAST({0} AS VARCHAR) AS DECIMAL(38, 20)), 2) AS VARCHAR)"
+_SAID = (
+    _SCORED
+    + _TIERS
+    + f""", best AS (SELECT row_uid, url, be, hit AS found, want, size_match, count_match, fmt, score FROM r WHERE position = 1 AND NOT rejected), lag AS (SELECT row_uid, score AS second FROM r WHERE position = 2 AND NOT rejected),
+    u AS (SELECT k.*, t0.id IS NOT NULL AS h0, t1.id IS NOT NULL AS h1, t1.c AS sim, url, be, found, want, size_match, count_match, fmt, score - coalesce(second, 0) AS gap, p_type, regexp_extract(url, '^https://([^/]*)', 1) AS host,
+        CASE WHEN size_ml IS NOT NULL THEN printf('%g', size_ml) || ' ml' WHEN size_g IS NOT NULL THEN printf('%g', size_g) || ' g' END AS phrase
+      FROM keyed k LEFT JOIN t0 USING (row_uid) LEFT JOIN t1 USING (row_uid) LEFT JOIN best USING (row_uid) LEFT JOIN lag USING (row_uid) JOIN part ON p_partkey = row_index),
+    b AS (SELECT *, NOT h0 AND NOT h1 AND url IS NOT NULL AS page, list_filter([{{'t': 'brand match 1.00', 'c': 'selection.brand_match'}}, {{'t': CASE WHEN size_match IN ('exact', 'unit_converted') THEN 'size ' || size_match || coalesce(' (' || phrase || ')', '') END, 'c': 'selection.size_match'}},
+        {{'t': CASE WHEN count_match = 'exact' AND coalesce(pack_count, 0) <> 0 THEN 'pack count ' || pack_count END, 'c': 'selection.count_match'}}, {{'t': CASE WHEN found > 0 THEN 'variant overlap ' || {_TWO.format("(found::DOUBLE / want)")} || ' (' || array_to_string(variant_terms[1:4], ', ') || ')' END, 'c': 'selection.variant_overlap'}},
+        {{'t': CASE WHEN fmt THEN 'format consistent' END, 'c': 'selection.format_consistent'}}], lambda x: x.t IS NOT NULL) AS basis, list_filter([CASE WHEN size_match = 'mismatch' THEN 'a size mismatch' END, CASE WHEN count_match = 'mismatch' THEN 'a pack-count mismatch' END], lambda x: x IS NOT NULL) AS marks FROM u)
+    SELECT row_uid, concat_ws(' ',
+      CASE WHEN h0 OR h1 THEN 'Identity confirmed by ' || CASE WHEN h0 THEN 'exact barcode match' ELSE 'near-duplicate identity match (similarity ' || {_TWO.format("sim")} || ')' END || ' to a previously resolved item; the page and its characteristics are carried from that record without re-examination.'
+        WHEN url IS NULL THEN 'No candidate page met the evidence threshold; the module and characteristics are derived from the retailer description alone.'
+        WHEN be THEN 'The selected page (' || host || ') publishes EAN ' || barcode || ', equal to the record''s barcode — a decisive identity match.'
+        ELSE 'The selected page (' || host || ') was ranked first on ' || array_to_string(list_transform(basis, lambda x: x.t), ', ') || CASE WHEN gap > 0 THEN ', ahead of the runner-up by ' || {_TWO.format("gap")} ELSE '' END || '.'
+          || CASE WHEN len(marks) > 0 THEN ' It was demoted for ' || array_to_string(marks, ', ') || ' and still won, so no better candidate was found.' ELSE '' END END,
+      'Classified as ' || p_type || ' from the description.', CASE WHEN p_type < 'M' THEN '2' ELSE '1' END || ' characteristic(s) apply to this module; values were not extracted in this run.', CASE WHEN page THEN 'Page evidence used: the page title.' END) AS reasoning,
+    concat_ws(',', CASE WHEN h0 THEN 'registry.tier0_exact' WHEN h1 THEN 'registry.tier1_ann' WHEN url IS NULL THEN 'selection.abstained' WHEN be THEN 'selection.url,selection.gtin_exact'
+        ELSE concat_ws(',', 'selection.url', array_to_string(list_transform(basis, lambda x: x.c), ','), CASE WHEN gap > 0 THEN 'selection.runner_up_gap' END, CASE WHEN len(marks) > 0 THEN 'selection.demotions' END) END,
+      'module.module,characteristics.gate_only', CASE WHEN page THEN 'evidence.fields' END) AS claims FROM b"""
+)
+
+
+@query(_SAID)
 def reasoning_text(spark, d):
     return reason.compose(_chain(spark, d)).select("row_uid", "reasoning", F.array_join("claims", ",").alias("claims"))
 

@@ -113,12 +113,12 @@ class _Reader:
 
     def __init__(self, conv, template: ChatTemplate):
         self.conv, self.t, self.rest = conv, template, ""
-        self.turns = self.loss_chars = self.chars = 0
+        self.turns = self.allowed = self.loss_chars = self.chars = 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
         head = re.escape(template.open) + r"([^\n]*?)" + re.escape(template.mid)
         self.turn = re.compile(f"{head}((?:(?!{re.escape(template.close)}).)*){re.escape(template.close)}", re.DOTALL)
 
-    def feed(self, segment: str, loss: bool) -> None:
+    def feed(self, segment: str, loss: bool, allowed: bool) -> None:
         self.chars += len(segment)
         if loss:
             text = unescape(segment)
@@ -130,6 +130,7 @@ class _Reader:
             if not m:
                 raise ValueError("the formatted text can't be read back")
             self.turns += 1
+            self.allowed += allowed
             self.all.update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
             self.rest = ""
 
@@ -138,7 +139,8 @@ def read_back(segments: DataFrame, template: ChatTemplate | None = None) -> Data
     """Digests of format_chats' output: per conversation, what its formatted text says.
 
     Takes the segments in their order, parses each turn with the template and undoes the
-    escapes. Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    escapes. Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_allowed (turns
+    that the automaton allows where they stand). An empty table gives none.
     """
     t = template or ChatTemplate()
     kind = dict(segments.dtypes)["conv_id"]
@@ -155,23 +157,24 @@ def read_back(segments: DataFrame, template: ChatTemplate | None = None) -> Data
                     pa.array([r.loss_chars for r in done], pa.int64()),
                     pa.array([r.loss.hexdigest() for r in done], pa.string()),
                     pa.array([r.chars for r in done], pa.int64()),
+                    pa.array([r.allowed for r in done], pa.int64()),
                 ],
-                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_allowed"],
             )
 
         id_type = pa.int64()
         for batch in batches:
             done: list[_Reader] = []
             id_type = batch.column("conv_id").type
-            for conv, segment, loss in zip(batch.column("conv_id").to_pylist(), batch.column("segment").to_pylist(), batch.column("loss").to_pylist(), strict=True):
+            for conv, segment, loss, allowed in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss", "allowed")), strict=True):
                 if now is None or conv != now.conv:
                     if now is not None:
                         done.append(now)
                     now = _Reader(conv, t)
-                now.feed(segment, loss)
+                now.feed(segment, loss, allowed)
             if done:
                 yield rows(done, id_type)
         if now is not None:
             yield rows([now], id_type)
 
-    return segments.mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return segments.mapInArrow(digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_allowed long")

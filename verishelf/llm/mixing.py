@@ -53,6 +53,7 @@ def mix_sources(
     seed: int = 11,
     rows_per_task: int = 250_000,
     max_broadcast_sources: int = 100_000,
+    max_sources: int = 5_000_000,
     carry: bool = False,
 ) -> DataFrame:
     """How many words a mix takes from each document.
@@ -73,7 +74,8 @@ def mix_sources(
     ordinary rows, and equal rows may swap results. An empty table gives an empty result.
 
     Running totals never gather a source in a task: rows are range-partitioned by (source,
-    shuffle key), summed per partition, and the partition sums are added up.
+    shuffle key), summed per partition, and the partition sums are added up. Targets are worked out over all
+    sources in one task, five numbers each: more than max_sources raise.
     """
     spark = docs.sparkSession
     base = cut(
@@ -85,6 +87,8 @@ def mix_sources(
             *([F.xxhash64("text").alias("text_hash")] if carry else []),
         )
     )
+    if base.select("source").distinct().count() > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
     targets = cut(_targets(base, weights, ratio, passes))
     facts = targets.agg(F.count("*").alias("n"), F.max("budget").alias("budget")).first()
     n = base.count()

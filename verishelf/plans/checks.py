@@ -15,7 +15,8 @@ from verishelf.plans.evaluation import _GRAMS, _RULES, _part_docs, _rules
 from verishelf.plans.inputs import candidate_pairs, products, table
 from verishelf.plans.queries import _SCORED, _with, query
 from verishelf.sources import adapters
-from verishelf.sources.tables import cut
+from verishelf.sources.tables import cache_key, cut, packed_cache
+from verishelf.sources.tables import first_rows as first_of
 
 # ---- fields ---------------------------------------------------------------------------------
 
@@ -375,4 +376,66 @@ def size_phrases(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(k == 0, n).alias("size_ml"), F.when(k == 1, n + 0.5).alias("size_g")).select("p_partkey", reason.size_phrase().alias("phrase"))
 
 
+@query("SELECT p_partkey, concat_ws(chr(10), 'name: ' || p_name, CASE WHEN p_partkey % 2 = 0 THEN 'type: ' || p_type END, 'price: ' || CAST(p_partkey AS VARCHAR)) AS text, '<dl><dt>name</dt><dd>' || p_name || ' &lt;&amp;&gt;</dd><dt>url</dt><dd>' || CASE WHEN p_partkey % 2 = 0 THEN '<a rel=\"noopener\" href=\"https://x.test/' || p_partkey || '\">https://x.test/' || p_partkey || '</a>' ELSE 'ftp://x' END || '</dd></dl>' AS html FROM part")
+def row_cards(spark, d):
+    even = F.col("p_partkey") % 2 == 0
+    text = runs.card_text({"name": F.col("p_name"), "type": F.when(even, F.col("p_type")).otherwise(""), "price": F.col("p_partkey")})
+    url = F.when(even, F.concat(F.lit("https://x.test/"), F.col("p_partkey").cast("string"))).otherwise("ftp://x")
+    html = runs.card_html({"name": F.concat("p_name", F.lit(" <&>")), "none": F.lit(None).cast("string"), "url": url}, ("url",))
+    return table(spark, d, "part").select("p_partkey", text.alias("text"), html.alias("html"))
+
+
+@query("SELECT c_custkey FROM customer WHERE contains(lower(c_name || chr(10) || c_mktsegment), 'customer#0000000') AND contains(lower(c_name || chr(10) || c_mktsegment), 'build') AND c_nationkey = 3")
+def filtered_rows(spark, d):
+    return runs.filter_rows(table(spark, d, "customer"), " Build CUSTOMER#0000000", ("c_name", "c_mktsegment"), c_nationkey=3).select("c_custkey")
+
+
+@query("SELECT user_id AS key, arg_max(event_type, (epoch(ts), event_id)) AS payload FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
+def packed_entries(spark, d):
+    cache = table(spark, d, "events").select(F.col("user_id").alias("key"), F.struct(F.unix_micros(F.col("ts").cast("timestamp")), "event_id").alias("fetched_at"), F.col("event_type").alias("payload"))
+    used = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("key"))
+    return packed_cache(cache, used, "key").select("key", "payload")
+
+
+@query("SELECT c_custkey, sha256('{\"p0\":\"m1\",\"p1\":\"' || c_name || '\",\"p2\":' || c_nationkey || ',\"p3\":' || CASE WHEN c_custkey % 2 = 0 THEN '[\"a\",\"b\"]' ELSE 'null' END || '}') AS key FROM customer")
+def call_keys(spark, d):
+    """Keys of model calls: the model, the prompt, its parameters, the hashes of images in order."""
+    images = F.when(F.col("c_custkey") % 2 == 0, F.array_sort(F.array(F.lit("b"), F.lit("a"))))
+    return table(spark, d, "customer").select("c_custkey", cache_key(F.lit("m1"), F.col("c_name"), F.col("c_nationkey"), images).alias("key"))
+
+
+@query(f"WITH {_RULES} SELECT module, CASE WHEN module < 'M' THEN 'GLOBAL_IF_MEDICATED: free text — say yes' || chr(10) ELSE '' END || 'GLOBAL_PACKAGING: COLD | HOT | BLUE | RING | BOLT' AS block FROM (SELECT DISTINCT module FROM rules)")
+def rule_blocks(spark, d):
+    guide = table(spark, d, "part").select(F.col("p_type").alias("module")).distinct().select("module", F.lit("GLOBAL_IF_MEDICATED").alias("characteristic"), F.lit("say yes").alias("guideline"))
+    return gold.rule_block(_rules(spark, d), guide)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def first_rows(spark, d):
+    """The rows of a trial run: a limit is the feature."""
+    ranked = table(spark, d, "orders").select("o_orderkey", "o_totalprice", (-F.col("o_totalprice")).alias("_by"))
+    return first_of(ranked, 25, "_by", "o_orderkey").drop("_by")
+
+
+@query(_SCORED + "SELECT row_uid, string_agg('[' || position || '] ' || r.url || chr(10) || 'title: ' || b.desc_raw || CASE WHEN b.barcode IS NOT NULL THEN chr(10) || 'gtin: ' || b.barcode ELSE '' END, chr(10) || chr(10) ORDER BY position) AS block FROM r JOIN (SELECT desc_raw, barcode, 'https://shop' || row_index % 10 || '.example' || CASE row_index % 3 WHEN 0 THEN '.co.uk' WHEN 1 THEN '.com' ELSE '.de' END || '/p/' || row_index AS url FROM q) b ON b.url = r.url WHERE NOT rejected AND position <= 4 GROUP BY 1")
+def judged_blocks(spark, d):
+    """What a judge is shown of a record's first pages."""
+    return gold.candidate_blocks(match.rank(match.score(match.features(candidate_pairs(spark, d)))), 4)
+
+
+_LOO = _GRAMS.format(doc="n_nationkey", text="n_name || ' of ' || n_regionkey * 111", table="nation").split(",\n  idf AS")[0] + """,
+  f AS (SELECT n_nationkey AS doc, 'R' || n_regionkey AS label, row_number() OVER (ORDER BY n_nationkey) - 1 AS fold FROM nation), o AS (SELECT fold AS part_out FROM f), n AS (SELECT count(*) - 1 AS size FROM f),
+  x AS (SELECT part_out, doc, label, fold, term, n FROM tg JOIN f USING (doc), o), idf AS (SELECT part_out, term, ln((any_value(size) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1 AS idf FROM x, n WHERE fold <> part_out GROUP BY 1, 2),
+  v0 AS (SELECT part_out, doc, label, fold, term, (1 + ln(n)) * idf AS w FROM x JOIN idf USING (part_out, term)), v AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY part_out, doc)) AS u FROM v0),
+  c0 AS (SELECT part_out, label, term, sum(u) AS w FROM v WHERE fold <> part_out GROUP BY 1, 2, 3), c AS (SELECT part_out, label, term, w / sqrt(sum(w * w) OVER (PARTITION BY part_out, label)) AS w FROM c0),
+  s AS (SELECT v.doc, c.label AS pred, sum(u * c.w) AS score FROM v JOIN c ON v.part_out = c.part_out AND v.term = c.term WHERE fold = v.part_out GROUP BY 1, 2)
+  SELECT doc, label AS truth, arg_min(pred, (-round(score, 9), pred)) AS pred FROM s JOIN f USING (doc) GROUP BY 1, 2"""
+
+
+@query(_LOO)
+def leave_one_out(spark, d):
+    docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("doc"), F.concat("n_name", F.lit(" of "), (F.col("n_regionkey") * 111).cast("string")).alias("text"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("label"))
+    return gold.leave_one_out(docs)
+
+
 __all__ = ["query"]

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verishelf.llm._common import ensure_checkpoint_dir, read
+from verishelf.llm._common import cut, ensure_checkpoint_dir, read
 from verishelf.llm.decontam import find_contamination
 from verishelf.llm.mixing import mix_sources
 from verishelf.llm.secrets import redact_secrets
@@ -36,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, exact Jaccard similarity 0.8)."""
+    """One document of each group of near copies: SimHash families, then exact Jaccard similarity 0.8 of five-word shingles."""
     return drop_near_copies(docs)
 
 
@@ -56,14 +56,19 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words of, with size, source_size, target and taken.
 
-    Rows that agree in doc_id and text count as one document; columns called like the results
-    make way for them.
+    Columns called like the results make way for them. Rows that agree in doc_id and text are
+    numbered, so that each has the words taken of one of them.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
-    named = docs.select("doc_id", "text", "source")
-    taken = mix_sources(named, carry=True).groupBy("doc_id", "text_hash").agg(*(F.max(c).alias(c) for c in ("size", "source_size", "target", "taken"))).where("taken > 0")
-    key = taken.withColumnsRenamed({"doc_id": "_mix_id", "text_hash": "_mix_hash"})
-    return docs.join(key, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.xxhash64("text").eqNullSafe(F.col("_mix_hash"))).select(*docs.columns, "size", "source_size", "target", "taken")
+    taken = cut(mix_sources(docs.select("doc_id", "text", "source"), carry=True))
+    key = taken.select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), "size", "source_size", "target", "taken")
+    on = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.xxhash64("text").eqNullSafe(F.col("_mix_hash"))
+    rows = docs
+    if not key.groupBy("_mix_id", "_mix_hash").count().where("count > 1").isEmpty():
+        key = key.withColumn("_mix_k", F.row_number().over(Window.partitionBy("_mix_id", "_mix_hash").orderBy(F.desc("taken"))))
+        rows = docs.withColumn("_mix_j", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))))
+        on = on & (F.col("_mix_j") == F.col("_mix_k"))
+    return rows.join(key.where("taken > 0"), on).select(*docs.columns, "size", "source_size", "target", "taken")
 
 
 STAGES = [

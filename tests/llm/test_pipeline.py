@@ -56,3 +56,11 @@ def test_clashing_columns(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     _write(spark, str(tmp_path), [], [], [])
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_each_copy_has_its_own_share_of_the_mix(spark, tmp_path):
+    docs = [(1, "a b c", "en", "s", 5)] * 5 + [(2, "d e", "en", "s", 3), (None, "f", None, None, 1), (None, "f", None, None, 1), (3, "", "en", "t", 0)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, taken long")
+    out = pipeline.mix(spark, frame, str(tmp_path)).collect()
+    assert sum(r["taken"] for r in out) == int(1.5 * 19) and all(0 < r["taken"] <= 2 * r["size"] for r in out)
+    assert len(out) <= 8 and 3 not in {r["doc_id"] for r in out}

@@ -119,7 +119,9 @@ def test_a_loose_scheme_stars_what_a_shard_does_not_take(spark):
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 300), rng.randint(100, 300)) for _ in range(120)] + [(400, x) for x in range(401, 500)] + [(5, 5)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    frame = spark.createDataFrame(edges, "a long, b long")
     roots = _roots(501, lambda a, b, s={tuple(sorted(e)) for e in edges}: (b, a) in s)
-    assert all(got.get(i, i) == roots[i] for i in range(501))
+    for one_task in (1 << 20, 0):
+        got = {r["node"]: r["root"] for r in components(frame, one_task=one_task).collect()}
+        assert all(got.get(i, i) == roots[i] for i in range(501))
     assert components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0

@@ -70,7 +70,7 @@ def format_chats(turns: DataFrame, template: ChatTemplate | None = None) -> Data
 
     turns: conv_id, turn, role, text; other columns are ignored. Rows are ordered by turn, then
     role, then text; null turns come first, null roles and texts read as empty, null conv_ids
-    are one conversation. Repeated rows are turns of their own. Each turn gives three segments
+    are one conversation. Repeated rows are turns of their own; an empty table gives none. Each turn gives three segments
     (header, text, close): their concatenation is the formatted conversation, and the text
     segments with loss are what a model learns. `allowed` says whether the automaton allows the
     turn where it stands; turns that it doesn't allow are formatted nevertheless.

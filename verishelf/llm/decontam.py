@@ -103,7 +103,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, ma
     Returns per row of docs: the kept columns, n_words, spans (merged word ranges that are hit),
     items (sorted ids of the items hit). Null and empty texts have no words. Null item ids
     read "null". Repeated rows and items are kept and reported alike; an empty benchmark hits
-    nothing.
+    nothing, and an empty table gives none.
 
     The set is broadcast with the scan. Its size is checked: a benchmark of more bytes
     than max_block_chars is cut into blocks by a hash of the item id, each is broadcast in turn

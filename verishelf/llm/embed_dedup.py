@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verishelf.llm._common import components, cut, drawn, lookup, numbering
-from verishelf.llm.simhash import Links
+from verishelf.llm._common import Links, components, cut, drawn, lookup, numbering
 
 #: Slack of the bound in single precision, far over its rounding error.
 EPS = 1e-4

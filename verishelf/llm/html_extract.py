@@ -314,12 +314,12 @@ def extract_pages(pages: DataFrame, *, max_broadcast_hosts: int = 200_000) -> Da
 
     pages: page_id, url, html; other columns are ignored. The host's paths are tried in the
     order of their votes; a page that has text on none of them is extracted by its own best
-    path. Skipped inside: menus, headers (but for their headings), footers, sidebars, notices,
-    adverts, forms, scripts, styles, comments. Character references are decoded, white space is
+    path. Skipped inside: menus, headers (but for their headings and paragraphs), footers, sidebars, notices,
+    adverts, forms, scripts, styles, comments; by tag and role always, by name as _settled decides. Character references are decoded, white space is
     one space, blocks are joined by one space, inline tags by nothing.
 
-    Null and empty html give an empty text; null urls and urls without a host vote together;
-    repeated rows vote each. The hosts' paths are broadcast if there are at most
+    Null and empty html give an empty text, pages of any size and depth are read whole; null urls and urls
+    without a host vote together; repeated rows vote each; an empty table gives none. The hosts' paths are broadcast if there are at most
     max_broadcast_hosts hosts, and joined by host beyond it.
     """
     ready = pages.select("page_id", "url", "html", host_column().alias("host"))

@@ -96,7 +96,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     right, github and npm tokens. A kind's matches don't overlap; other kinds' may.
 
     Returns per row: id_col and secrets, an array of (start, end, kind) in code points. Null
-    and empty texts have none; repeated rows and other columns don't matter.
+    and empty texts have none, texts of any length are scanned whole; repeated rows are reported alike, other columns don't
+    matter, and an empty table gives none.
     """
     kept = docs.select(F.col(id_col), "text")
 
@@ -111,7 +112,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with every secret in text replaced by [SECRET:kind] and n_chars, if there, counted anew.
 
-    Overlapping secrets become one mark, named after the first. Rows and columns stay.
+    Overlapping secrets become one mark, named after the first. Rows and columns stay, null texts too; an empty
+    table gives none.
     """
     names = docs.columns
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verishelf.llm._common import components, cut, lookup, raw_bytes, slices
+from verishelf.llm._common import Links, components, cut, lookup, raw_bytes, slices
 
 _U8, _U64 = np.uint8, np.uint64
 _BITS = np.unpackbits(np.arange(256, dtype=_U8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -164,27 +164,6 @@ def route(nodes: list[tuple[int, int]], words: np.ndarray, radius: int) -> list[
     return out
 
 
-class Links:
-    """Union-find over the codes of a shard, kept as flat labels."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Each a with its b: labels fall to the smallest until none differs."""
-        while len(a):
-            x, y = self.label[a], self.label[b]
-            apart = x != y
-            if not apart.any():
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            down = np.arange(len(self.label))
-            np.minimum.at(down, np.maximum(x, y), np.minimum(x, y))
-            while not np.array_equal(hop := down[down], down):
-                down = hop
-            self.label = down[self.label]
-
-
 def link_shard(words: np.ndarray, homes: np.ndarray, visitors: np.ndarray, band: np.ndarray, radius: int, verify: int, limit: int, links: Links, leaf: int = 512, block: int = 1 << 20) -> None:
     """Join all pairs of a home and a home or visitor that the scheme links.
 
@@ -357,7 +336,7 @@ def simhash_classes(docs: DataFrame, scheme: Scheme = THREE_BITS, *, id_col: str
     Texts whose codes (of one word) the scheme links, directly or over others, share a component;
     component_id is the smallest id_col among them, nulls left out. Equal codes are folded before any pair is
     looked at, so a group of copies costs one code. Null and empty texts all have the code zero
-    and are linked like any other. Repeated rows share everything. An empty table gives none.
+    and are linked like any other. Repeated rows share everything. Other columns don't matter; an empty table gives none.
     """
     prints = cut(fingerprints(docs.select(F.col(id_col), "text"), scheme, [id_col]))
     classes = prints.groupBy("code").agg(F.min(id_col).alias("low"), F.count("*").alias("m"))
@@ -381,9 +360,9 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text.lower().split(), 5))
 
 
-def _common_shingles(sets: DataFrame, texts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about `texts` different sets have, sorted, and their counts."""
-    every = max(1, sets.count() // texts)
+def _common_shingles(sets: DataFrame, n: int, texts: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about `texts` of the n sets have, sorted, and their counts."""
+    every = max(1, n // texts)
     picked = sets.where(F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(every)) == 0).select("hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -514,7 +493,8 @@ def similar_classes(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t or b"").tobytes() for t in raw_bytes(batch.column("text"))], pa.binary())], names=["node", "hashes"])
 
     sets = cut(wanted.mapInArrow(sets_of, "node long, hashes binary").dropDuplicates(["node"]))
-    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(sets, sample, most_common))
+    n_sets = sets.count()
+    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(sets, n_sets, sample, most_common))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -553,9 +533,15 @@ def similar_classes(docs: DataFrame, *, num: int = 4, den: int = 5, id_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         labelled = shared.join(roots, "node", "left").select("token", "node", "size", "pos", F.coalesce("root", "node").alias("label"))
-        pairs = labelled.repartition("token").sortWithinPartitions("token", "pos", "node").mapInArrow(emit, "a long, b long").distinct()
+        pairs = cut(labelled.repartition("token").sortWithinPartitions("token", "pos", "node").mapInArrow(emit, "a long, b long").distinct())
+        if not (many := pairs.count()):
+            continue
         x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-        found = cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+        if many <= min(n_sets // 4, 500_000):  # few pairs go to the sets, which stay where they are
+            both = x.join(F.broadcast(pairs), "a").join(y.join(F.broadcast(pairs), "b"), ["a", "b"])
+        else:
+            both = pairs.join(x, "a").join(y, "b")
+        found = cut(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
         if not found.isEmpty():
             edges = found if edges is None else edges.unionAll(found)
             roots = components(edges)

@@ -59,14 +59,14 @@ def pages_of(products_df: DataFrame) -> DataFrame:
 def candidate_pairs(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Each record (of rows, if they are there already) with the pages of its brand and size class.
 
-    Both sides are parsed before they meet, and pairs are dealt by record before they are compared,
-    which is how the ranking needs them.
+    Both sides are parsed before they meet. Records are in as many parts as there are cores at least, so
+    that pairs with a small table of pages, which is broadcast, are too.
     """
     own = products(spark, sf_dir) if rows is None else rows
     own = own.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.col("p_size").alias("_size")), "row_index")
     pages = cut(parse_pages(pages_of(own)))
-    pairs = cut(parse_records(own)).join(pages, (F.col("brand") == F.col("page_brand")) & (F.col("_size") == F.col("page_size")))
-    return pairs.drop("page_brand", "page_size", "_size").repartition("row_uid")
+    pairs = spread(cut(parse_records(own)), "row_uid").join(pages, (F.col("brand") == F.col("page_brand")) & (F.col("_size") == F.col("page_size")))
+    return pairs.drop("page_brand", "page_size", "_size")
 
 
 #: The same records in SQL, from how the list was made.

@@ -140,7 +140,8 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
 
     A table of one small file is one part, and all that is parsed from it one task.
     """
-    return df.repartition(*by) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
 
 
 def global_rank(df: DataFrame, by: list, name: str, rows_per_task: int = 500_000) -> tuple[DataFrame, int]:

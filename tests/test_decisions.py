@@ -233,3 +233,27 @@ def test_streams(spark, tmp_path):
     events = [(i, "e", float(t), ok) for i, (t, ok) in enumerate([(0, True), (1, False), (2, False), (3, False), (4, True), (10, False), (14, False)])]
     got = breaker_timeline(spark.createDataFrame(events, "event_id int, engine string, at double, ok boolean"), failures=3, cooldown=10).orderBy("event_id").collect()
     assert [r["open"] for r in got] == [False, False, False, False, True, True, False]
+
+
+def test_the_first_pages_are_found_without_all_pairs(spark, monkeypatch):
+    from verishelf.operators import shortlist
+
+    monkeypatch.setattr(shortlist, "TILE_ROWS", 7)
+    monkeypatch.setattr(shortlist, "TILE_PAGES", 5)
+    rnd = random.Random(3)
+    words = ["mint", "fresh", "whitening", "travel", "refill"]
+    codes = ["5014697056627", "5014697056628", "501469", None, None]
+    pick = lambda n: rnd.sample(words, rnd.randint(0, n))
+    row = lambda i: (f"q:{i}", rnd.choice(["ACME X", "Oral", ""]), rnd.choice(codes), " ".join(pick(2)), pick(3), rnd.choice([["gel"], [], ["gel", "paste"]]), 50.0, rnd.choice([50.0, 75.0, None]), rnd.choice([None, 50.0]), rnd.choice([None, 1, 2]), rnd.choice([["GB", "FR"], ["DE"], []]), rnd.choice([None, "s1.test"]), i % 2)
+    q = spark.createDataFrame([row(i) for i in range(60)], "row_uid string, brand string, barcode string, desc_clean string, variant_terms array<string>, format_hints array<string>, size_value double, size_ml double, size_g double, pack_count int, countries array<string>, domain string, block int")
+    hosts = ["www.s1.test", "shop.co.uk", "acme.de", "x.com", "buycott.com"]
+    page = lambda i: (f"https://{rnd.choice(hosts)}/{rnd.choice(['acme', 'p/', 'search?q='])}{i if i % 9 else ''}", " ".join([rnd.choice(["Acme-X", "Oral", ""]), *pick(3), rnd.choice(["50ml", "75 ml", "50g", ""]), rnd.choice(["gel", "pack of 2", ""])]), rnd.choice(codes), i % 2)
+    p = spark.createDataFrame(list({r[0]: r for r in map(page, range(90))}.values()), "url string, title string, gtin string, block int").withColumn("body_text", F.lit(""))
+    rows, pages = match.parse_records(q), match.parse_pages(p)
+    ranked = lambda pairs: match.rank(match.score(match.features(pairs)))
+    every = ranked(q.join(p, "block"))
+    few = tables.cut(ranked(shortlist.shortlist(rows, pages, ["block"], 3)))
+    seen = lambda df: sorted((r["row_uid"], r["position"], r["url"], r["score"]) for r in df.where("not rejected and position <= 3").collect())
+    assert seen(few) == seen(every) and few.count() < every.count() / 3
+    picked = lambda df: sorted(map(str, match.select(df).collect()))
+    assert picked(few) == picked(every)

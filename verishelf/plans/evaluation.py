@@ -10,7 +10,7 @@ from verishelf.operators import calibrate, gold, match, reason, registry, runs
 from verishelf.operators import characteristics as C
 from verishelf.operators import textmodel as M
 from verishelf.plans.inputs import candidate_pairs, products, table
-from verishelf.plans.queries import _SCORED, _TIERS, SQL, _entities, _identity_idf, _with, query
+from verishelf.plans.queries import _SCORED, _TIERS, SQL, _entities, _first_ranked, _identity_idf, _with, query
 from verishelf.sources.tables import cut
 
 # ---- text model -----------------------------------------------------------------------------
@@ -277,7 +277,7 @@ def characteristic_accuracy(spark, d):
 def _chain(spark, d) -> DataFrame:
     """Each record with its registry hit, selected page and features, class and gated values."""
     rows = products(spark, d)
-    ranked = cut(match.rank(match.score(match.features(candidate_pairs(spark, d, rows)))))
+    ranked = cut(_first_ranked(spark, d, 2, rows))
     chosen = match.select(ranked)
     best = ranked.select("row_uid", "url", "barcode_exact", "brand_match", "size_match", "count_match", "variant_overlap", "format_consistent", "retailer_domain_match", "negative_flags", "calibrated", F.col("gtin").alias("page_gtin"), F.col("title").alias("page_title"))
     hits = registry.lookup(rows.select("row_uid", "gtin_id", "fp_id", "variant_terms"), _entities(rows), _identity_idf(rows))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verishelf.operators.products import normalize, read_records, with_keys
 from verishelf.operators.match import parse_pages, parse_records
+from verishelf.operators.shortlist import shortlist
 from verishelf.sources.tables import cut, spread
 
 
@@ -69,6 +70,19 @@ def candidate_pairs(spark: SparkSession, sf_dir: str, rows: DataFrame | None = N
     return pairs.drop("page_brand", "page_size", "_size")
 
 
+#: What match.features reads of a record.
+_ROW = ("row_uid", "brand", "barcode", "size_value", "size_ml", "size_g", "pack_count", "_token", "_token_squashed", "_wanted", "_formats", "_countries", "_domain", "_own_marks")
+
+
+def best_pairs(spark: SparkSession, sf_dir: str, k: int, rows: DataFrame | None = None) -> DataFrame:
+    """Of candidate_pairs, those that can be among a record's first k usable ones: a block's pairs are as
+    many as the square of its records, what these queries return is k a record."""
+    own = products(spark, sf_dir) if rows is None else rows
+    own = own.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.col("p_size").alias("_size")), "row_index")
+    pages = cut(parse_pages(pages_of(own)).withColumnsRenamed({"page_brand": "brand", "page_size": "_size"}))
+    return shortlist(cut(spread(parse_records(own), "row_uid").select(*_ROW, "_size")), pages, ["brand", "_size"], k).drop("_size")
+
+
 #: The same records in SQL, from how the list was made.
 PRODUCTS_SQL = r"""
 p0 AS (

@@ -13,7 +13,7 @@ from verishelf.functions import urls as U
 from verishelf.functions import vocab
 from verishelf.operators import match, products, registry, runs
 from verishelf.operators import textmodel as M
-from verishelf.plans.inputs import PRODUCTS_SQL, candidate_pairs, raw_products, table
+from verishelf.plans.inputs import PRODUCTS_SQL, best_pairs, candidate_pairs, raw_products, table
 from verishelf.plans.inputs import products as product_rows
 from verishelf.sources.tables import cached, check_schema, cut, pending
 
@@ -292,6 +292,11 @@ def _ranked(spark, d):
     return match.rank(match.score(match.features(candidate_pairs(spark, d))))
 
 
+def _first_ranked(spark, d, k: int, rows=None):
+    """_ranked as far as it concerns each record's first k usable pages; the first two tell what is selected."""
+    return match.rank(match.score(match.features(best_pairs(spark, d, k, rows))))
+
+
 @query(_SCORED + "SELECT row_uid, url, be AS barcode_exact, size_match, count_match, fmt AS format_consistent, market AS market_signal, round(weighted, 6) AS weighted FROM r")
 def match_features(spark, d):
     df = match.score(match.features(candidate_pairs(spark, d)))
@@ -310,12 +315,12 @@ def rank_candidates(spark, d):
     coalesce(max(CASE WHEN position = 1 AND NOT rejected THEN be::INT END) = 1, false) AS write_back FROM r GROUP BY row_uid"""
 )
 def select_best(spark, d):
-    return match.select(_ranked(spark, d)).select("row_uid", "url", F.round("confidence", 6).alias("confidence"), F.round("gap", 6).alias("gap"), "write_back")
+    return match.select(_first_ranked(spark, d, 2)).select("row_uid", "url", F.round("confidence", 6).alias("confidence"), F.round("gap", 6).alias("gap"), "write_back")
 
 
 @query(_SCORED + "SELECT row_uid, count(*) AS n FROM r WHERE NOT rejected AND position <= 4 GROUP BY 1")
 def adjudication_top_k(spark, d):
-    return match.top_k(_ranked(spark, d), 4).groupBy("row_uid").agg(F.count("*").alias("n"))
+    return match.top_k(_first_ranked(spark, d, 4), 4).groupBy("row_uid").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey AS k, avg(CASE WHEN contains('p-' || l_partkey || ' ' || lower(l_returnflag), lower(l_linestatus)) THEN 1.0 ELSE 0.0 END) AS rate FROM lineitem GROUP BY 1")

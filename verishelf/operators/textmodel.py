@@ -22,6 +22,17 @@ def document_frequencies(counted: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def copies(docs: DataFrame, text: str, *by: str) -> DataFrame:
+    """text, *by, copies: how many documents have a text. Vectors are functions of the text alone, so what
+    is fitted on documents is a sum over their texts, each as often as it occurs."""
+    return docs.groupBy(text, *by).agg(F.count("*").alias("copies"))
+
+
+def weighted_frequencies(counted: DataFrame, folded: DataFrame, doc: str) -> DataFrame:
+    """document_frequencies of documents that were folded: counted has a row for each text and term."""
+    return counted.join(folded.groupBy(doc).agg(F.sum("copies").alias("copies")), doc).groupBy("term").agg(F.sum("copies").alias("df"))
+
+
 def idf(df: DataFrame, n_docs: int) -> DataFrame:
     """ln((n + 1) / (df + 1)) + 1 for each term."""
     if n_docs <= 0:
@@ -41,8 +52,9 @@ def unit(raw: DataFrame, key: str) -> DataFrame:
 
 
 def centroids(vecs: DataFrame, labels: DataFrame, doc: str, label: str) -> DataFrame:
-    """label, term, weight: unit sums of the labelled vectors."""
-    sums = vecs.join(labels.select(doc, label), doc).groupBy(label, "term").agg(F.sum("weight").alias("weight"))
+    """label, term, weight: unit sums of the labelled vectors, each times its copies if labels has them."""
+    n = F.col("copies") if "copies" in labels.columns else F.lit(1)
+    sums = vecs.join(labels.select(doc, label, n.alias("_n")), doc).groupBy(label, "term").agg(F.sum(F.col("weight") * F.col("_n")).alias("weight"))
     return unit(sums, label)
 
 

@@ -40,18 +40,25 @@ _PART = _GRAMS.format(doc="p_partkey", text="p_name || ' ' || p_brand", table="p
 
 @query(_PART + " SELECT label, count(*) AS terms, round(sum(w), 6) AS weight FROM c GROUP BY 1")
 def class_centroids(spark, d):
-    docs = cut(_part_docs(spark, d))
-    counted = cut(M.terms(docs, "doc", "text"))
-    vecs = M.vectors(counted, M.idf(M.document_frequencies(counted), docs.count()), "doc")
-    return M.centroids(vecs, docs, "doc", "label").groupBy("label").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("weight"))
+    vecs, folded, _, _ = _part_vectors(spark, d)
+    return M.centroids(vecs, folded, "text", "label").groupBy("label").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+def _part_vectors(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Vectors by text, texts with label and copies, idf, and documents: far fewer texts than documents."""
+    docs = _part_docs(spark, d)
+    folded = cut(M.copies(docs, "text", "label"))
+    counted = cut(M.terms(folded.select("text").distinct().withColumn("_t", F.col("text")), "text", "_t"))
+    n_docs = folded.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    idf = cut(M.idf(M.weighted_frequencies(counted, folded, "text"), n_docs))
+    return cut(M.vectors(counted, idf, "text")), folded, idf, docs
 
 
 @query(_PART + " SELECT a.doc, a.label, round(a.score, 6) AS score, b.label AS runner_up, round(a.score - b.score, 6) AS gap FROM r a JOIN r b ON a.doc = b.doc AND a.k = 1 AND b.k = 2")
 def centroid_predict(spark, d):
-    docs = cut(_part_docs(spark, d))
-    counted = cut(M.terms(docs, "doc", "text"))
-    vecs = cut(M.vectors(counted, M.idf(M.document_frequencies(counted), docs.count()), "doc"))
-    out = M.best_labels(vecs, docs, cut(M.centroids(vecs, docs, "doc", "label")), "doc", "label")
+    vecs, folded, _, docs = _part_vectors(spark, d)
+    best = M.best_labels(vecs, folded.select("text").distinct(), cut(M.centroids(vecs, folded, "text", "label")), "text", "label")
+    out = docs.drop("label").join(cut(best), "text")
     return out.select("doc", "label", F.round("score", 6).alias("score"), "runner_up", F.round("gap", 6).alias("gap"))
 
 
@@ -136,7 +143,7 @@ _CV = _GRAMS.format(doc="p_partkey", text="p_name || ' ' || p_brand", table="par
 
 @query(_CV)
 def cross_validate(spark, d):
-    return gold.cross_validate(cut(_part_docs(spark, d)), 5)
+    return gold.cross_validate(_part_docs(spark, d), 5)
 
 
 @query("SELECT CAST(NULL AS VARCHAR) AS row_uid, CAST(NULL AS VARCHAR) AS problem WHERE false UNION ALL SELECT 'o' || o_orderkey, 'label and url disagree' FROM orders WHERE (o_orderstatus = 'F') <> (o_totalprice > 50000) UNION ALL SELECT 'o' || o_orderkey, 'no evidence' FROM orders WHERE o_orderpriority LIKE '5%'")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verishelf.functions.text import characteristic_name, collapse, format_g, strip
 from verishelf.functions.vocab import CHARACTERISTIC_ALIASES, CHARACTERISTICS
 from verishelf.operators import textmodel as M
+from verishelf.sources.tables import cut
 
 GOLD_URLS = "row_uid string, url string, label string, evidence string"
 GOLD_PAIRS = "left string, right string, label string"
@@ -120,23 +121,28 @@ def cross_validate(docs: DataFrame, k: int, doc: str = "doc", text: str = "text"
     they train, and all k models are fitted in the same pass. Frequencies, vectors and
     centroids are those that a model of these folds alone would have.
     """
-    return _refitted(docs, M.stratified_folds(docs, label, doc, k), k, doc, text, label)
-
-
-def _refitted(docs: DataFrame, folded: DataFrame, k: int, doc: str, text: str, label: str) -> DataFrame:
-    """cross_validate over given folds from 0 to k - 1."""
-    counted = M.terms(folded, doc, text).join(folded.select(doc, label, "fold"), doc)
-    outs = counted.withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    train = outs.where("out <> fold")
-    sizes = folded.select("fold").withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("out <> fold").groupBy("out").agg(F.count("*").alias("size"))
-    idf = train.groupBy("out", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "out").select("out", "term", (F.log((F.col("size") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))
-    raw = outs.join(idf, ["out", "term"]).withColumn("weight", (1 + F.log(F.col("n").cast("double"))) * F.col("idf")).withColumn("key", F.struct("out", doc))
-    vecs = M.unit(raw, "key")
-    cents = M.unit(vecs.where("out <> fold").groupBy("out", label, "term").agg(F.sum("weight").alias("weight")).withColumn("key", F.struct("out", label)), "key")
-    dots = vecs.where("out = fold").select("out", doc, "term", "weight").join(cents.select("out", F.col(label).alias("pred"), "term", F.col("weight").alias("w2")), ["out", "term"]).groupBy(doc, "pred").agg(F.sum(F.col("weight") * F.col("w2")).alias("score"))
-    best = dots.groupBy(doc).agg(F.min_by("pred", F.struct(-F.round("score", 9), F.col("pred"))).alias("pred"))
+    return _refitted(M.stratified_folds(docs, label, doc, k), k, doc, text, label)
+
+
+def _refitted(folded: DataFrame, k: int, doc: str, text: str, label: str) -> DataFrame:
+    """cross_validate over given folds from 0 to k - 1. Copies of a text in a fold are folded to one row with their number."""
+    texts = cut(folded.groupBy(F.col(text).alias("_text"), label, "fold").agg(F.count("*").alias("copies")))
+    counted = cut(M.terms(texts.select("_text").distinct().withColumn("_x", F.col("_text")), "_text", "_x"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    sizes = texts.groupBy("fold").agg(F.sum("copies").alias("n")).withColumn("out", every).where("out <> fold").groupBy("out").agg(F.sum("n").alias("size"))
+    in_fold = counted.join(texts.groupBy("_text", "fold").agg(F.sum("copies").alias("copies")), "_text")
+    df = in_fold.groupBy("fold", "term").agg(F.sum("copies").alias("c")).withColumn("out", every).where("out <> fold").groupBy("out", "term").agg(F.sum("c").alias("df"))
+    idf = df.join(F.broadcast(sizes), "out").select("out", "term", (F.log((F.col("size") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))
+    raw = counted.withColumn("out", every).join(idf, ["out", "term"]).withColumn("weight", (1 + F.log(F.col("n").cast("double"))) * F.col("idf")).withColumn("key", F.struct("out", "_text"))
+    vecs = cut(M.unit(raw, "key").select("out", "_text", "term", "weight"))
+    train = texts.withColumn("out", every).where("out <> fold").groupBy("out", "_text", label).agg(F.sum("copies").alias("copies"))
+    sums = vecs.join(train, ["out", "_text"]).groupBy("out", label, "term").agg(F.sum(F.col("weight") * F.col("copies")).alias("weight"))
+    cents = M.unit(sums.withColumn("key", F.struct("out", label)), "key")
+    asked = vecs.join(texts.select("_text", F.col("fold").alias("out")).distinct(), ["_text", "out"])
+    dots = asked.join(cents.select("out", F.col(label).alias("pred"), "term", F.col("weight").alias("w2")), ["out", "term"]).groupBy("out", "_text", "pred").agg(F.sum(F.col("weight") * F.col("w2")).alias("score"))
+    best = dots.groupBy(F.col("out").alias("fold"), "_text").agg(F.min_by("pred", F.struct(-F.round("score", 9), F.col("pred"))).alias("pred"))
     least = folded.agg(F.min(label).alias("_first"))  # one row: what a document without known terms gets
-    return folded.join(best, doc, "left").join(F.broadcast(least)).select(doc, F.col(label).alias("truth"), F.coalesce("pred", "_first").alias("pred"))
+    return folded.withColumn("_text", F.col(text)).join(cut(best), ["fold", "_text"], "left").join(F.broadcast(least)).select(doc, F.col(label).alias("truth"), F.coalesce("pred", "_first").alias("pred"))
 
 
 def leave_one_out(docs: DataFrame, doc: str = "doc", text: str = "text", label: str = "label", *, most: int = 2000) -> DataFrame:
@@ -149,7 +155,7 @@ def leave_one_out(docs: DataFrame, doc: str = "doc", text: str = "text", label:
     if n > most:
         raise ValueError(f"more than {most} documents: cross_validate takes them in folds")
     ranked = docs.withColumn("fold", F.row_number().over(Window.orderBy(doc)) - 1)  # at most `most` rows
-    return _refitted(docs, ranked, n, doc, text, label)
+    return _refitted(ranked, n, doc, text, label)
 
 
 def long_labels(table: DataFrame, columns: list[str], uid: str = "row_uid") -> DataFrame:

@@ -161,9 +161,10 @@ _OCTETS = "a AS (SELECT c_custkey AS k, c_custkey * 37 % 256 AS o1, c_custkey *
 def url_safety(spark, d):
     """Hosts that are addresses in four numbers, as one number, names, this machine, and IPv6 addresses."""
     k = F.col("c_custkey")
+    groups = F.concat_ws(":", F.hex(F.shiftright(k, 16).bitwiseAND(65535)), F.hex(k.bitwiseAND(65535)))  # a group holds 16 bits
     quad = F.concat_ws(".", *[x.cast("string") for x in (k * 37 % 256, k * 91 % 256, F.col("c_nationkey") * 10 % 256, k % 256)])
     name = F.when(k % 5 == 0, quad).when(k % 5 == 1, (k + 16777216).cast("string")).when(k % 5 == 2, F.concat(F.lit("h"), k.cast("string"), F.lit(".test"))).when(k % 5 == 3, F.concat(F.lit("h"), k.cast("string"), F.lit(".localhost:80")))
-    name = F.coalesce(name, F.when(k % 2 == 0, F.concat(F.lit("[2606:4700::"), F.hex(k), F.lit("]"))).otherwise(F.concat(F.lit("[fd00::"), F.hex(k), F.lit("]"))))
+    name = F.coalesce(name, F.when(k % 2 == 0, F.concat(F.lit("[2606:4700::"), groups, F.lit("]"))).otherwise(F.concat(F.lit("[fd00::"), groups, F.lit("]"))))
     return table(spark, d, "customer").select("c_custkey", U.safe(F.concat(F.lit("http://"), name, F.lit("/p"))).alias("safe"))
 
 

@@ -45,3 +45,30 @@ def test_cross_validation_is_refitting(spark):
         cents = M.centroids(M.vectors(counted, idf, "doc"), train, "doc", "label")
         want = M.predict(M.class_scores(M.vectors(M.terms(test, "doc", "text"), idf, "doc"), test, cents, "doc", "label"), "doc", "label").collect()
         assert all(got[r["doc"]] == r["label"] for r in want)
+
+
+def test_copies_of_a_text_are_fitted_once(spark, monkeypatch, tmp_path):
+    from verishelf.plans.queries import all_queries
+
+    taken = []
+    own = M.terms
+    monkeypatch.setattr(M, "terms", lambda docs, *a, **k: taken.append(docs.count()) or own(docs, *a, **k))
+    names = ["hot bolt", "cold ring", "blue plate"]
+    part = spark.range(60).selectExpr("id as p_partkey", f"element_at(array('{names[0]}', '{names[1]}', '{names[2]}'), cast(id % 3 + 1 as int)) as p_name", "'Brand#1' as p_brand", "concat('T', cast(id % 3 as string)) as p_type", "1 as p_size")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    q = all_queries()
+    assert all(r["pred"] == r["truth"] == f"T{r['doc'] % 3}" for r in q["cross_validate"](spark, str(tmp_path)).collect())
+    got = q["centroid_predict"](spark, str(tmp_path)).collect()
+    assert len(got) == 60 and all(r["label"] == f"T{r['doc'] % 3}" and r["score"] == 1 for r in got)
+    assert {r["label"]: r["terms"] > 5 for r in q["class_centroids"](spark, str(tmp_path)).collect()} == {f"T{i}": True for i in range(3)}
+    assert q["unseen_classes"](spark, str(tmp_path)).count() == 180
+    assert max(taken) == 3
+
+
+def test_addresses_of_large_keys_are_well_formed(spark, tmp_path):
+    from verishelf.plans.queries import all_queries
+
+    keys = spark.createDataFrame([(4, 1), (9, 1), (70004, 1), (70009, 1), (16777214, 1)], "c_custkey long, c_nationkey int")
+    keys.write.parquet(str(tmp_path / "customer.parquet"))
+    got = dict(all_queries()["url_safety"](spark, str(tmp_path)).collect())
+    assert got == {4: True, 9: False, 70004: True, 70009: False, 16777214: True}

@@ -11,7 +11,7 @@ from verishelf.functions import urls as U
 from verishelf.operators import characteristics as C
 from verishelf.operators import gold, match, reason, registry, runs
 from verishelf.operators import textmodel as M
-from verishelf.plans.evaluation import _GRAMS, _RULES, _part_docs, _rules
+from verishelf.plans.evaluation import _GRAMS, _RULES, _part_vectors, _rules
 from verishelf.plans.inputs import products, table
 from verishelf.plans.queries import _SCORED, _first_ranked, _with, query
 from verishelf.sources import adapters
@@ -288,11 +288,10 @@ _UNSEEN = _GRAMS.format(doc="p_partkey", text="p_name || ' ' || p_brand", table=
 
 @query(_UNSEEN)
 def unseen_classes(spark, d):
-    docs = cut(_part_docs(spark, d))
-    counted = cut(M.terms(docs, "doc", "text"))
-    idf = cut(M.idf(M.document_frequencies(counted), docs.count()))
+    vecs, folded, idf, docs = _part_vectors(spark, d)
     names = table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("label")).distinct()
-    return gold.unseen_scores(M.vectors(counted, idf, "doc"), docs, names, idf, "doc", "label").withColumn("score", F.round("score", 6))
+    scores = cut(gold.unseen_scores(vecs, folded.select("text").distinct(), names, idf, "text", "label").withColumn("score", F.round("score", 6)))
+    return docs.drop("label").join(scores, "text").select("doc", "label", "score")
 
 
 @query(f"WITH {_RULES}, s AS (SELECT module, list(characteristic) AS s FROM rules GROUP BY 1) SELECT p_partkey AS row_uid, array_to_string(list_filter(['GLOBAL_PACKAGING', 'GLOBAL_IF_MEDICATED'], lambda c: list_contains(s, c)), ',') AS applicable, 13 AS cells FROM part JOIN s ON module = p_type")

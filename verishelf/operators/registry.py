@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,13 +119,67 @@ def recent(entities: DataFrame, n: int = 12) -> DataFrame:
     return entities.orderBy(F.desc("updated_at"), "entity_id").limit(n)
 
 
+#: Edges that one task links up by itself.
+SHARD = 250_000
+
+
+def _roots(a: pa.ChunkedArray, b: pa.ChunkedArray) -> pa.RecordBatch:
+    """node, root of a shard of edges: the smallest node that it reaches in the shard."""
+    codes = pa.chunked_array([*a.chunks, *b.chunks], pa.string()).combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(codes.dictionary)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    ends = place[codes.indices.to_numpy()].reshape(2, -1)
+    root = np.arange(len(order))
+    while True:
+        low, high = root[ends].min(axis=0), root[ends].max(axis=0)
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    names = codes.dictionary.take(order)
+    return pa.RecordBatch.from_arrays([names, names.take(pa.array(root))], names=["node", "root"])
+
+
+def _link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, SHARD):
+            part = batch.slice(at, SHARD)
+            if held and n + part.num_rows > 2 * SHARD:
+                t = pa.Table.from_batches(held)
+                yield _roots(t["a"], t["b"])
+                held, n = [], 0
+            held.append(part)
+            n += part.num_rows
+    if held:
+        t = pa.Table.from_batches(held)
+        yield _roots(t["a"], t["b"])
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): connected components of an undirected edge list (a, b) of strings.
 
-    The component is its smallest node. Labels fall along the edges and jump to their label's
-    label, so the rounds grow with the log of a component's diameter; each is checkpointed.
+    The component is its smallest node. Shards of edges, dealt by ranges of a, are linked up by one task each;
+    what is left is a graph of their roots, of those that share a node, for which labels fall along the edges.
     Self-edges give a component of one.
     """
+    few = lambda df: F.broadcast(df) if df.count() <= 100_000 else df
+    own = cut(edges.select("a", "b").where("a is not null and b is not null"))
+    stars = cut(own.repartitionByRange(max(1, math.ceil(own.count() / SHARD)), "a").mapInArrow(_link_shards, "node string, root string"))
+    nodes = cut(stars.groupBy("node").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("split")))
+    split = nodes.where("split").select("node", F.col("root").alias("b"))
+    links = cut(stars.join(few(split), "node").where("root <> b").select(F.col("root").alias("a"), "b").distinct())
+    if not links.take(1):
+        return nodes.select("node", F.col("root").alias("component"))
+    joined = _fall(links, rounds).withColumnRenamed("node", "root")
+    return nodes.join(few(joined), "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+
+
+def _fall(edges: DataFrame, rounds: int) -> DataFrame:
+    """components by rounds: labels fall along the edges and jump to their label's label, so the rounds grow with the
+    log of a component's diameter; each is checkpointed."""
     both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).withColumnRenamed("a", "node"))
     for _ in range(rounds):

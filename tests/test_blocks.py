@@ -41,6 +41,23 @@ def test_pairs_by_bits(spark, monkeypatch, n_words, pairs, pages, longs):
     assert rows(blocks.ranked_pairs(*sides, ["block"]), *kept) == rows(match.rank(plain), *kept)
 
 
+@pytest.mark.parametrize("class_rows,scored", [(4096, 2), (5, 8)])
+def test_equal_records_and_pages_are_scored_once(spark, monkeypatch, class_rows, scored):
+    """Copies that differ in their names and barcodes only: classes meet, every pair comes out."""
+    seen, score = [], blocks._score
+    monkeypatch.setattr(blocks, "CLASS_ROWS", class_rows)
+    monkeypatch.setattr(blocks, "_score", lambda df, c: seen.append(df.count()) or score(df, c))
+    q, p = _sides(spark, 0)
+    codes = F.when(F.col("i") % 2 == 0, F.concat(F.lit("50146970566"), F.col("i") + 10))
+    q = spark.range(20).withColumnRenamed("id", "i").crossJoin(q.limit(1).drop("row_uid", "barcode", "block")).withColumns({"row_uid": F.concat(F.lit("q:"), "i"), "barcode": codes, "block": F.lit(0)})
+    p = spark.range(30).withColumnRenamed("id", "i").crossJoin(p.limit(1).drop("url", "gtin", "block")).withColumns({"url": F.concat(F.lit("https://x.com/p/"), "i"), "gtin": codes, "block": F.lit(0)})
+    q, p = q.drop("i"), p.drop("i")
+    plain = match.score(match.features(q.join(p, "block"))).withColumn("n_flags", F.size("negative_flags"))
+    got, _, _ = blocks.scored_pairs(match.parse_records(q), match.parse_pages(p), ["block"])
+    rows = lambda df: sorted(map(str, df.select(*SEEN).collect()))
+    assert seen[0] <= scored and rows(got) == rows(plain) and len(rows(got)) == 600
+
+
 def test_rounding_is_that_of_decimals(spark):
     values = [0.0046875, 0.1234565, 0.1234564999999, 1.0, 0.0, 1 / 3, 0.35 + 0.3 * 2 / 3, 0.0000005]
     df = spark.createDataFrame([(v,) for v in values], "x double")

@@ -9,7 +9,6 @@ from verishelf.functions import vocab
 from verishelf.operators import calibrate, gold, match, reason, registry, runs
 from verishelf.operators import characteristics as C
 from verishelf.operators import textmodel as M
-from verishelf.operators.blocks import round_to
 from verishelf.plans.inputs import candidate_pairs, products, table
 from verishelf.plans.queries import _SCORED, _TIERS, SQL, _entities, _first_ranked, _identity_idf, _with, query
 from verishelf.sources.tables import cut
@@ -218,7 +217,7 @@ def held_out_error(spark, d):
 
 @query(_SCORED + "SELECT row_uid, url, round(weighted, 6) AS score, be AS correct FROM r WHERE be IS NOT NULL")
 def harvest_pairs(spark, d):
-    return calibrate.harvest(candidate_pairs(spark, d, coded=True)).withColumn("score", round_to(F.col("score"), 6))
+    return calibrate.harvest(candidate_pairs(spark, d, coded=True, digits=6))
 
 
 # ---- characteristics ------------------------------------------------------------------------
